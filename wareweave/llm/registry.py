@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from wareweave.llm import exact_dedup, sharding
+from wareweave.llm import exact_dedup, mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op6_mixing": mixing.mix_query,
         "op7_exact_dedup": exact_dedup.dedup_query,
         "op10_sharding": sharding.shard_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.DEDUP_SQL}
+    return {"op6_mixing": mixing.MIX_SQL, "op7_exact_dedup": exact_dedup.DEDUP_SQL}
