@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wareweave.llm import exact_dedup, mixing, sharding
+from wareweave.llm import bpe, exact_dedup, mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op5_byte_bpe": bpe.bpe_query,
         "op6_mixing": mixing.mix_query,
         "op7_exact_dedup": exact_dedup.dedup_query,
         "op10_sharding": sharding.shard_query,
