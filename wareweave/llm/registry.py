@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wareweave.llm import bpe, exact_dedup, mixing, sharding
+from wareweave.llm import bpe, exact_dedup, mixing, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op3_simhash": simhash.simhash_query,
         "op5_byte_bpe": bpe.bpe_query,
         "op6_mixing": mixing.mix_query,
         "op7_exact_dedup": exact_dedup.dedup_query,
