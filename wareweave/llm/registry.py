@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from wareweave.llm import bpe, exact_dedup, mixing, sharding, simhash
+from wareweave.llm import bpe, exact_dedup, mixing, perplexity, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_perplexity": perplexity.perplexity_query,
         "op3_simhash": simhash.simhash_query,
         "op5_byte_bpe": bpe.bpe_query,
         "op6_mixing": mixing.mix_query,
