@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wareweave.llm import bpe, exact_dedup, mixing, perplexity, sharding, simhash
+from wareweave.llm import bpe, exact_dedup, mixing, perplexity, sharding, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_perplexity": perplexity.perplexity_query,
+        "op2_url_filter": url_filter.url_query,
         "op3_simhash": simhash.simhash_query,
         "op5_byte_bpe": bpe.bpe_query,
         "op6_mixing": mixing.mix_query,
