@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wareweave.llm import bpe, exact_dedup, mixing, perplexity, sharding, simhash, url_filter
+from wareweave.llm import bpe, exact_dedup, mixing, perplexity, quality_cnn, sharding, simhash, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_perplexity": perplexity.perplexity_query,
         "op2_url_filter": url_filter.url_query,
         "op3_simhash": simhash.simhash_query,
+        "op4_toxicity": toxicity.toxicity_query,
         "op5_byte_bpe": bpe.bpe_query,
         "op6_mixing": mixing.mix_query,
         "op7_exact_dedup": exact_dedup.dedup_query,
+        "op9_quality_cnn": quality_cnn.quality_query,
         "op10_sharding": sharding.shard_query,
     }
 
