@@ -32,7 +32,7 @@ from wareweave.llm.common import table, whole_text
 from wareweave.llm.sampling import held_out, labelled_sample
 
 ROWS_PER_CLASS = 6000
-MAX_TERMS, MIN_Z, MIN_DOCS = 2048, 4.0, 4
+MAX_TERMS, MIN_Z, MIN_DOCS = 2048, 6.0, 10
 FACTORS, STEPS, RATE, DECAY = 8, 300, 0.05, 1e-4
 THRESHOLD = 0.5
 #: Bytes of the beginnings of words that are terms of their own.
