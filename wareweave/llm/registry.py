@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wareweave.llm import bpe, exact_dedup, mixing, perplexity, quality_cnn, sharding, simhash, toxicity, url_filter
+from wareweave.llm import bpe, exact_dedup, licenses, mixing, perplexity, quality_cnn, sharding, simhash, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_byte_bpe": bpe.bpe_query,
         "op6_mixing": mixing.mix_query,
         "op7_exact_dedup": exact_dedup.dedup_query,
+        "op8_license_scan": licenses.license_query,
         "op9_quality_cnn": quality_cnn.quality_query,
         "op10_sharding": sharding.shard_query,
     }
