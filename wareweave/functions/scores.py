@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wareweave.functions.text import SPEC_PATTERNS, spec_hits
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 - insertions and deletions / total length, by the longest common subsequence.
 

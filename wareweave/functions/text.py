@@ -161,7 +161,7 @@ def number_context(c: Column, width: int = 10) -> Column:
     """Every number with up to ``width`` characters before and after it."""
     pieces = F.split(c, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
     ends = F.transform(pieces, lambda p, i: F.length(F.array_join(F.slice(pieces, 1, i + 1), "")))
-    spans = F.transform(F.arrays_zip(pieces.alias("piece"), ends.alias("end")), lambda s: F.struct(s["0"].alias("piece"), s["1"].alias("end")))
+    spans = F.zip_with(pieces, ends, lambda p, e: F.struct(p.alias("piece"), e.alias("end")))
     numbers = F.filter(spans, lambda s: s["piece"].rlike(r"^\d+$"))
     return F.transform(
         numbers,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from wareweave.plans import cleaning, corpus, matching, rules, sheets, summaries
+
+MODULES = (sheets, cleaning, rules, matching, summaries, corpus)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for m in MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
