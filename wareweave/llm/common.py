@@ -37,3 +37,14 @@ def whole_text(column: str = "text") -> Column:
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns that bear the name of a column about to be added."""
     return df.drop(*names)
+
+
+def shield(df: DataFrame, *names: str) -> DataFrame:
+    """Put input columns that bear an operator's working name out of its way."""
+    return df.withColumnsRenamed({n: f"__ww_own_{n}" for n in names if n in df.columns})
+
+
+def unshield(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The input's columns with their own values, in their order."""
+    own = lambda c: f"__ww_own_{c}"
+    return df.select(*[F.col(f"`{own(c)}`").alias(c) if own(c) in df.columns else F.col(f"`{c}`") for c in columns])

@@ -22,19 +22,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wareweave.llm.common import BLANKS, checkpoint, table, whole_text, without
+from wareweave.llm.common import BLANKS, checkpoint, shield, table, unshield, whole_text, without
 
 #: Counters of each Misra-Gries summary and bound of the broadcast winners.
 COUNTERS = 1024
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 CHARS = "__ww_chars"
+#: Other names that the split uses on the way.
+WORKING = ("heavy_id", "heavy_chars", "heavy_size")
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
     """Add text_sha256 of the text without ASCII white space, and its code points."""
     text = whole_text()
     return (
-        without(docs, *ADDED, CHARS)
+        without(docs, *ADDED, *WORKING, CHARS)
         .withColumn(CHARS, F.char_length(text))
         .withColumn("text_sha256", F.sha2(F.regexp_replace(text, BLANKS, ""), 256))
     )
@@ -129,6 +131,12 @@ def exact_dedup(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
     return resolve(keyed, heavy_winners(narrow, k))
 
 
+def keep_one(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
+    """The rows of docs that stay, with docs' own columns."""
+    found = exact_dedup(shield(docs, *ADDED, *WORKING), k)
+    return unshield(found.filter("kept"), docs.columns)
+
+
 def dedup_query(spark, sf_dir: str) -> DataFrame:
     keyed = checkpoint(with_digest(table(spark, sf_dir, "documents")).select("doc_id", CHARS, "text_sha256"))
     return resolve(keyed, heavy_winners(keyed)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wareweave.llm.common import WORD, checkpoint, table, whole_text, without
+from wareweave.llm.common import WORD, checkpoint, shield, table, unshield, whole_text, without
 
 WEIGHTS = (5, 2, 1)
 #: A source is taken this many times over at most.
@@ -35,6 +35,8 @@ BLOCK_DIGITS = 2
 #: Sources up to which their table is broadcast; beyond it the join is left to AQE.
 BROADCAST_SOURCES = 20_000
 ADDED = ("size", "source_size", "target", "copies", "taken")
+#: Other names that a mix uses on the way.
+WORKING = ("sid", "ratio", "offset", "start")
 ORDER = ("__ww_class", "__ww_md5", "doc_id", "size", "__ww_text")
 BLOCK = ("__ww_class", "__ww_block")
 
@@ -43,7 +45,7 @@ def sized(docs: DataFrame) -> DataFrame:
     """Add the word count and the columns of the sampling order."""
     text = whole_text()
     return (
-        without(docs, *ADDED)
+        without(docs, *ADDED, *WORKING)
         .withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long"))
         .withColumn("__ww_class", F.floor(F.sqrt("size")).cast("int"))
         .withColumn("__ww_md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")))
@@ -159,11 +161,11 @@ def narrow(rows: DataFrame) -> DataFrame:
 
 def emit(docs: DataFrame) -> DataFrame:
     """The mixed corpus itself: docs' columns, each row as often as the mix takes it."""
-    rows = sized(docs)
+    rows = sized(shield(docs, *ADDED, *WORKING))
     sources, starts = plan_mix(narrow(rows))
     mixed = mix(rows, sources, starts).filter("copies > 0")
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return mixed.withColumn("__ww_copy", times).select(*docs.columns)
+    return unshield(mixed.withColumn("__ww_copy", times), docs.columns)
 
 
 def mix_query(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wareweave.llm.batches import add_columns
-from wareweave.llm.common import table, whole_text
+from wareweave.llm.common import shield, table, unshield, whole_text
 from wareweave.llm.sampling import held_out, labelled_sample
 
 ROWS_PER_CLASS = 6000
@@ -138,6 +138,6 @@ def toxicity_query(spark, sf_dir: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows predicted toxic; texts stay as they were, null included."""
-    rows = docs.withColumn("__ww_null", F.col("text").isNull())
+    rows = shield(docs, "score", "predicted").withColumn("__ww_null", F.col("text").isNull())
     kept = score(rows, train(docs, labels)).filter("predicted = 0")
-    return kept.withColumn("text", F.when(~F.col("__ww_null"), F.col("text"))).select(*docs.columns)
+    return unshield(kept.withColumn("text", F.when(~F.col("__ww_null"), F.col("text"))), docs.columns)

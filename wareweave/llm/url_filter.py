@@ -101,15 +101,17 @@ def calibrate(scored: DataFrame) -> float:
     total = {v: sum(r["n"] for r in bins if r["verdict"] == v) for v in ("allow", "block")}
     if not all(total.values()):
         return 0.0
-    allowed, blocked, best = total["allow"], 0, (-1.0, 0.0)
-    for b in sorted({r["bin"] for r in bins}) + [max(r["bin"] for r in bins) + 1]:
-        gain = allowed / total["allow"] + blocked / total["block"]
-        best = max(best, (gain, -abs(b / BINS)))
-        if gain == best[0] and best[1] == -abs(b / BINS):
-            chosen = b / BINS
+    allowed, blocked = total["allow"], 0
+    cuts, last = [], None
+    occupied = sorted({r["bin"] for r in bins})
+    for b in [*occupied, occupied[-1] + 1]:
+        # any cut in a gap decides the counted URLs alike; its middle is farthest from both
+        middle = b / BINS if last is None else (last + 1 + b) / 2 / BINS
+        cuts.append((allowed / total["allow"] + blocked / total["block"], -abs(middle), middle))
         allowed -= sum(r["n"] for r in bins if r["bin"] == b and r["verdict"] == "allow")
         blocked += sum(r["n"] for r in bins if r["bin"] == b and r["verdict"] == "block")
-    return chosen
+        last = b
+    return max(cuts)[2]
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
