@@ -44,8 +44,8 @@ _two("price_band_join", "catalog", "offers",
      "SELECT c.product_id, c.price, o.offer_id, o.price AS offer_price FROM catalog c JOIN offers o ON o.product_id = c.product_id WHERE c.price <= 0 OR o.price <= 0 OR abs(c.price - o.price) / greatest(c.price, o.price) <= 0.3E0")
 _over("category_compat_join", "messy", lambda df: joins.category_pairs(_neighbours(df), "category", "category_b", _GROUPS).select("product_id", "category", "category_b"),
       f"SELECT product_id, category, category_b FROM ({_NEXT}) WHERE category = category_b OR (lower(category) IN {_GROUPS['basic']} AND lower(category_b) IN {_GROUPS['basic']}) OR (lower(category) IN {_GROUPS['sized']} AND lower(category_b) IN {_GROUPS['sized']})")
-_over("text_sim_join", "messy", lambda df: joins.jaccard_join(df.withColumn("full_name", F.concat_ws(" ", "name", "category", "brand")), "full_name", 0.5),
-      "SELECT a, b, similarity FROM (SELECT x.t AS a, y.t AS b, len(list_intersect(x.w, y.w)) / CAST(len(list_distinct(list_concat(x.w, y.w))) AS DOUBLE) AS similarity FROM (SELECT DISTINCT name || ' ' || category || ' ' || brand AS t, string_split(lower(name || ' ' || category || ' ' || brand), ' ') AS w FROM messy) x, (SELECT DISTINCT name || ' ' || category || ' ' || brand AS t, string_split(lower(name || ' ' || category || ' ' || brand), ' ') AS w FROM messy) y WHERE x.t < y.t) WHERE similarity >= 0.5")
+_over("text_sim_join", "messy", lambda df: joins.jaccard_join(df.withColumn("full_name", F.concat_ws(" ", "name", "brand")), "full_name", 0.5),
+      "SELECT a, b, similarity FROM (SELECT x.t AS a, y.t AS b, len(list_intersect(x.w, y.w)) / CAST(len(list_distinct(list_concat(x.w, y.w))) AS DOUBLE) AS similarity FROM (SELECT DISTINCT name || ' ' || brand AS t, string_split(lower(name || ' ' || brand), ' ') AS w FROM messy) x, (SELECT DISTINCT name || ' ' || brand AS t, string_split(lower(name || ' ' || brand), ' ') AS w FROM messy) y WHERE x.t < y.t) WHERE similarity >= 0.5")
 QUERIES["embedding_topk"] = (
     lambda spark, sf_dir: joins.cosine_topk(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0"), "label", 5)
     .select("query_id", "vec_id", F.round("cosine", 4).alias("cosine"), "rank"),
