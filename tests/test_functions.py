@@ -126,3 +126,47 @@ def test_headers():
 def test_csv_error_cells(spark, tmp_path):
     (tmp_path / "a.csv").write_text("name,price\ncup,#REF!\npot,12\n", encoding="utf-8")
     assert [r["price"] for r in sheets.read_csv(spark, str(tmp_path / "a.csv")).collect()] == [None, "12"]
+
+
+def test_tax_wording(spark):
+    for words, loose, strict in [("VAT 포함", 100.0, 100.0), ("vat 별도", 100.0, 110.0), ("none", 110.0, 110.0)]:
+        assert one(spark, money.vat_gross_up(F.lit(100.0), F.lit(words))) == pytest.approx(loose)
+        assert one(spark, money.vat_gross_up(F.lit(100.0), F.lit(words), strict=True)) == pytest.approx(strict)
+
+
+def test_keywords_go_in_list_order(spark):
+    assert one(spark, text.clean_name(F.col("a")), a="주문제작수건 결혼답례품 수건") == ""
+    assert one(spark, text.clean_name(F.col("a")), a="돌답례품수건 a") == "돌 a"
+
+
+def test_best_match_is_chosen_after_the_cut(spark):
+    rows = [(1, 10 + i, "s", 100.0 - i, 0.99 - i / 100) for i in range(5)] + [(1, 99, "s", 1.0, 0.80)]
+    df = spark.createDataFrame(rows, "product_id int, offer_id int, seller string, offer_price double, combined double")
+    assert joins.best_match(df, 5, 0.0, 0.7).first()["offer_id"] == 14  # the cheaper sixth is never seen
+    assert joins.best_match(df, 5, 0.0, 0.99).first()["offer_id"] == 10  # none is above the bound: the best score
+
+
+def test_blocked_joins_find_what_exact_joins_find(spark):
+    import random
+
+    rng = random.Random(1)
+    names = [" ".join(rng.sample(["red", "blue", "cup", "pot", "big", "mini", "steel"], rng.randint(1, 4))) for _ in range(80)]
+    sets = {n: set(n.split()) for n in names}
+    exact = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    found = joins.jaccard_join(spark.createDataFrame([(n,) for n in names], "name string"), "name", 0.5).collect()
+    assert {(r["a"], r["b"]) for r in found} == exact
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(10)]
+    vectors += [(100 + i, [-x if j in rng.sample(range(64), 4) else x for j, x in enumerate(v)]) for i, v in vectors]
+    bits = {i: [x > 0 for x in v] for i, v in vectors}
+    apart = lambda a, b: sum(x != y for x, y in zip(bits[a], bits[b], strict=True))
+    exact = {(a, b) for a in bits for b in bits if a < b and apart(a, b) <= 4}
+    found = joins.hash_near(spark.createDataFrame(vectors, "vec_id int, embedding array<double>")).collect()
+    assert {(r["a"], r["b"]) for r in found} == exact
+
+
+def test_parts_are_full_but_the_last(spark):
+    from wareweave.operators.ordering import split_parts
+
+    df = spark.range(700).select((F.col("id") * 1_000_003 % 2_000_000_011).alias("seq"))
+    sizes = {r["part"]: r["part_size"] for r in split_parts(df, "seq").collect()}
+    assert sizes == {1: 300, 2: 300, 3: 100}

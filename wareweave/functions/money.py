@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 NOT_NUMBERS = ("#REF!", "", "-", "동일상품 없음", "(공백)", "(공백 or 없음)", "가격이 범위 내에 없거나 검색된 상품이 없음")
 ERROR_CELLS = ("#N/A", "#NULL", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?")
 VAT = 1.1
+# Wording about the tax; the first also holds "separate" and "excluded".
+VAT_NAMED = r"(?i)VAT\s*(포함|별도|제외)"
+VAT_INCLUDED = r"(?i)vat 포함|vat included"
 
 
 def to_numeric(c: Column) -> Column:
@@ -32,9 +35,9 @@ def first_quantity(c: Column) -> Column:
     return F.regexp_extract(c, r"(\d+)(개|세트|묶음)", 1).try_cast("int")
 
 
-def vat_gross_up(price: Column, text: Column) -> Column:
-    """Add the tax unless the text says that it is in or out."""
-    named = F.coalesce(text.rlike(r"(?i)(vat|부가세)\s*(포함|별도|included|excluded)"), F.lit(False))
+def vat_gross_up(price: Column, text: Column, strict: bool = False) -> Column:
+    """Add the tax unless the text names it; strict: unless the text says it is included."""
+    named = F.coalesce(text.rlike(VAT_INCLUDED if strict else VAT_NAMED), F.lit(False))
     return F.when(named, price).otherwise(price * VAT)
 
 

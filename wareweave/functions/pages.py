@@ -20,7 +20,7 @@ def attribute_values(html: Column, attribute: str) -> Column:
 
 def priced_tiers(text: Column) -> Column:
     """Array of (qty, price) of "N개: P원", tax added, by quantity."""
-    pattern = r"(\d+)개: ([\d,]+)원"
+    pattern = r"(\d+)개[:\s]+([0-9,]+)원"
     qty = F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: x.cast("int"))
     price = F.transform(F.regexp_extract_all(text, F.lit(pattern), 2), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double") * VAT)
     return F.array_sort(F.zip_with(qty, price, lambda q, p: F.struct(q.alias("qty"), p.alias("price"))))

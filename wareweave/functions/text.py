@@ -91,9 +91,8 @@ def clean_name_match(c: Column) -> Column:
 
 def clean_code(c: Column, fallback: Column) -> Column:
     """A code of letters, digits and dashes; the fallback where nothing is left of it."""
-    blank = blank_to_null(c)
-    kept = F.when(blank.rlike(r"^[A-Za-z0-9-]+$"), blank).otherwise(F.regexp_replace(blank, r"[^A-Za-z0-9-]", ""))
-    return F.when(blank.isNull(), "").otherwise(F.coalesce(F.nullif(kept, F.lit("")), fallback))
+    kept = F.regexp_replace(F.trim(c), r"[^A-Za-z0-9-]", "")
+    return F.when(c.isNull() | (c == ""), "").otherwise(F.coalesce(F.nullif(kept, F.lit("")), fallback))
 
 
 def first_filled(*columns: Column) -> Column:
@@ -114,9 +113,9 @@ def promo_flag(title: Column, mall: Column, category: Column) -> Column:
 def derive_status(name: Column, price: Column, image: Column) -> Column:
     """What a catalogue row lacks, the first lack named."""
     return (
-        F.when(blank_to_null(name).isNull(), "MISSING_NAME")
-        .when(price.isNull() | (price <= 0), "MISSING_PRICE")
-        .when(blank_to_null(image).isNull(), "MISSING_IMAGE")
+        F.when(blank_to_null(name).isNull(), "Not Found")
+        .when(price.isNull() | (price == 0), "Price Not Found")
+        .when(blank_to_null(image).isNull(), "Image Not Found")
         .otherwise("OK")
     )
 
@@ -148,7 +147,9 @@ def key_terms(c: Column) -> Column:
 
 
 def spec_hits(c: Column, kind: str) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(SPEC_PATTERNS[kind]), 1), lambda h: F.lower(F.regexp_replace(h, r"\s+", "")))
+    """Specifications of one kind: digits, Latin letters and signs of size only, so that a
+    unit in another script does not count."""
+    return F.transform(F.regexp_extract_all(c, F.lit(SPEC_PATTERNS[kind]), 1), lambda h: F.regexp_replace(F.lower(h), "[^0-9a-z×x]", ""))
 
 
 def extract_specs(c: Column) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IMAGE_END = r"(?i)\.(jpg|jpeg|png|gif|webp|bmp)(\?.*)?$"
-# Words for "no image", and parts of user-interface image names.
+IMAGE_END = r"(?i)\.(jpe?g|png|gif|webp|bmp)([?#].*)?$"
+# Words for "no image", parts of user-interface image names, and parts of
+# an address that speak for an image.
 NO_IMAGE = ("없음", "none", "null", "na", "-")
-UI_PARTS = r"(?i)(icon|button|btn_|logo|banner|blank|spacer)"
+UI_PARTS = r"(?i)(icon|button|btn|bg_|pixel\.gif|blank\.gif|spacer\.gif)"
+IMAGE_PARTS = r"(?i)(image|img|photo|picture|thumbnail|thumb)"
 
 
 def clean_url(c: Column) -> Column:
@@ -38,12 +40,13 @@ def clean_image_url(c: Column) -> Column:
 
 
 def likely_image(c: Column) -> Column:
-    return F.coalesce(c.rlike(IMAGE_END), F.lit(False))
+    """An image file's ending, or a part of the address that speaks for an image."""
+    return F.coalesce(c.rlike(IMAGE_END) | c.rlike(IMAGE_PARTS), F.lit(False))
 
 
 def shown_image(c: Column) -> Column:
     """A product image: an image file that is no part of a page's interface."""
-    return likely_image(c) & ~F.coalesce(c.rlike(UI_PARTS), F.lit(False))
+    return F.coalesce(c.rlike(IMAGE_END), F.lit(False)) & ~F.coalesce(c.rlike(UI_PARTS), F.lit(False))
 
 
 def normalize_url(c: Column) -> Column:

@@ -26,7 +26,7 @@ def price_band_join(left: DataFrame, right: DataFrame, price: str, other: str, o
     Two prices at most ``most`` apart lie in the same or neighbouring buckets; prices
     that are not positive pass with any and get a bucket that the other side joins too.
     """
-    step = -math.log(1 - most)
+    step = -math.log(1 - most) * 1.01  # a little wider, for the edges of floating point
     bucket = lambda c: F.when(F.col(c) > 0, F.floor(F.log(F.col(c)) / step).cast("long"))
     mine = F.when(F.col(price) > 0, F.array(*[bucket(price) + d for d in (-1, 0, 1)], F.lit(None).cast("long"))).otherwise(F.array(F.lit(None).cast("long")))
     free = -(10**6)

@@ -62,15 +62,32 @@ def reference_price(df: DataFrame, price: str, candidate: str) -> DataFrame:
     return df.filter((F.col(candidate) > 0) & ((pct < 0) | (pct >= 10)))
 
 
-def match_status(text: Column, price: Column, offer: Column, low: float = 0.6, far: float = 30.0) -> Column:
-    """OK, or what is wrong with a match, the findings joined."""
-    findings = F.array_compact(
-        F.array(
-            F.when(text < low, F.concat(F.lit("LOW_SIMILARITY "), F.round(text * 100).cast("int").cast("string"), F.lit("%"))),
-            F.when(F.abs(offer - price) / price * 100 > far, "OUT_OF_RANGE"),
-        )
+# Status texts.
+NO_MATCH, EXTRACTION_FAILED, NO_IMAGE = "No Match Found (매칭 없음)", "Extraction Failed (데이터 수집 오류)", "Image Not Found (이미지 없음)"
+NO_NAME, NO_PRODUCT, LOW_TEXT = "상품명 정보 없음", "동일상품 없음", "텍스트 유사도 낮음"
+
+
+def match_status(text: Column, offer: Column, status: Column, low: int, high: int, least: float = 0.75) -> Column:
+    """OK, or what is wrong with a match, the findings joined by a slash."""
+    similar = F.when(text < least, F.concat(F.lit("Low Similarity ("), F.format_string("%.2f", text), F.lit(f" < {least})")))
+    range_ = F.when((offer < low) | (offer > high), f"Price Out of Range ({low}~{high})")
+    image = F.when(status == "Image Not Found", NO_IMAGE)
+    found = F.array_join(F.array_compact(F.array(image, range_, similar)), " / ")
+    return (
+        F.when(offer.isNull(), NO_MATCH)
+        .when(status == "Extraction Failed", EXTRACTION_FAILED)
+        .otherwise(F.coalesce(F.nullif(found, F.lit("")), F.lit("OK")))
+    )
+
+
+def enrich_status(name: Column, price: Column, status: Column, similarity: Column, least: float = 0.6) -> Column:
+    """Status of a channel's product: blank name, none found, too unlike, else its own."""
+    return (
+        F.when(F.coalesce(F.trim(name), F.lit("")) == "", NO_NAME)
+        .when(price.isNull(), NO_PRODUCT)
+        .when(true(similarity < least), LOW_TEXT)
+        .otherwise(status)
     )
-    return F.when(offer.isNull(), "NO_MATCH").otherwise(F.coalesce(F.nullif(F.array_join(findings, " / "), F.lit("")), F.lit("OK")))
 
 
 def issue_class(pct: Column, stock: Column, expected: Column, limit: float = 10.0) -> Column:

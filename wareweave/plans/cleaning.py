@@ -36,12 +36,12 @@ _ANY = lambda c, words: f"regexp_matches({c}, '{'|'.join(dict.fromkeys(words))}'
 
 _project("clean_name_basic", r"trim(regexp_replace(regexp_replace(raw_name, '^\d+-', ''), '[/()]', '', 'g')) AS clean",
          ("clean", lambda: text.clean_name_basic(_col("raw_name"))))
-_project("clean_name", f"{_SPACES.format(_NOISE)} AS clean", ("clean", lambda: text.clean_name(_col("raw_name"))))
+_project("clean_name_keywords", f"{_SPACES.format(_NOISE)} AS clean", ("clean", lambda: text.clean_name(_col("raw_name"))))
 _project("search_key", _SPACES.format(r"translate(regexp_replace(regexp_replace(regexp_replace(raw_name, '^\d+-', ''), '^\d+\s*-\s*', ''), '\(\d+\)', '', 'g'), '/_', '  ')") + " AS search_key",
          ("search_key", lambda: text.search_key(_col("raw_name"))))
 _project("clean_name_match", _SPACES.format(r"regexp_replace(regexp_replace(regexp_replace(raw_name, '\[.*?\]', '', 'g'), '\(.*?\)', '', 'g'), '[^\w가-힣\s]', ' ', 'g')") + " AS clean",
          ("clean", lambda: text.clean_name_match(_col("raw_name"))))
-_project("clean_code", "CASE WHEN raw_code IS NULL OR trim(raw_code) = '' THEN '' ELSE coalesce(nullif(regexp_replace(trim(raw_code), '[^A-Za-z0-9-]', '', 'g'), ''), 'CODE-' || md5(raw_code || CAST(product_id AS STRING))) END AS code",
+_project("clean_code", "CASE WHEN raw_code IS NULL OR raw_code = '' THEN '' ELSE coalesce(nullif(regexp_replace(trim(raw_code), '[^A-Za-z0-9-]', '', 'g'), ''), 'CODE-' || md5(raw_code || CAST(product_id AS STRING))) END AS code",
          ("code", lambda: text.clean_code(_col("raw_code"), F.concat(F.lit("CODE-"), F.md5(F.concat("raw_code", F.col("product_id").cast("string")).cast("binary"))))))
 _project("coalesce_code", "coalesce(nullif(trim(raw_code), ''), nullif(trim(brand), ''), '') AS code", ("code", lambda: text.first_filled(_col("raw_code"), _col("brand"))))
 _project("clean_price", r"""CASE WHEN raw_price IS NULL THEN 0.0 ELSE least(greatest(coalesce(try_cast(regexp_replace(raw_price, '[^\d.]', '', 'g') AS DOUBLE), 0.0), 100.0), 10000.0) END AS clean""",
@@ -55,8 +55,8 @@ _project("clean_url", "CASE WHEN raw_url IS NULL OR trim(raw_url) IN ('', 'nan')
 _UNWRAP = "CASE WHEN raw_url LIKE '=IMAGE(%' THEN regexp_extract(raw_url, '^=IMAGE\\(\"([^\"]*)\"', 1) ELSE raw_url END"
 _IMAGE = f"trim(translate({_UNWRAP}, '\"''', ''))"
 _CLEAN_IMAGE = f"CASE WHEN {_IMAGE} IS NULL OR {_IMAGE} = '' OR lower({_IMAGE}) IN {_IN(urls.NO_IMAGE)} THEN '' WHEN regexp_matches({_IMAGE}, '^https?://') THEN {_IMAGE} WHEN starts_with({_IMAGE}, '//') THEN 'https:' || {_IMAGE} ELSE 'https://' || {_IMAGE} END"
-_END = r"(?i)\.(jpg|jpeg|png|gif|webp|bmp)(\?.*)?$"
-_project("clean_image_url", f"{_CLEAN_IMAGE} AS url, regexp_matches({_CLEAN_IMAGE}, '{_END}') AS likely_image",
+_END = urls.IMAGE_END
+_project("clean_image_url", f"{_CLEAN_IMAGE} AS url, regexp_matches({_CLEAN_IMAGE}, '{_END}') OR regexp_matches({_CLEAN_IMAGE}, '{urls.IMAGE_PARTS}') AS likely_image",
          ("url", lambda: urls.clean_image_url(_col("raw_url"))), ("likely_image", lambda: urls.likely_image(urls.clean_image_url(_col("raw_url")))))
 _project("normalize_url", r"""replace(replace(translate(CASE WHEN starts_with(t, 'http:') THEN 'https:' || substr(t, 6) WHEN starts_with(t, '//') THEN 'https:' || t
   WHEN NOT regexp_matches(t, '^[a-z]+:') AND contains(t, '.') THEN 'https://' || t ELSE t END, chr(92), '/'), '"', '%22'), ' ', '%20') AS url""".replace("(t,", "(translate(trim(raw_url), '@', ''),").replace("|| t", "|| translate(trim(raw_url), '@', '')").replace("ELSE t ", "ELSE translate(trim(raw_url), '@', '') "),
@@ -68,7 +68,7 @@ _project("image_formula", f"""CASE WHEN coalesce(trim({_UNWRAP}), '') = '' THEN
 _project("normalize_types", "coalesce(raw_code, '') AS raw_code, coalesce(try_cast(raw_price AS DOUBLE), 0.0) AS price, CASE WHEN division IN ('A', 'P') THEN division ELSE 'A' END AS division",
          ("raw_code", lambda: F.coalesce("raw_code", F.lit(""))), ("price", lambda: F.coalesce(_col("raw_price").try_cast("double"), F.lit(0.0))),
          ("division", lambda: F.when(_col("division").isin("A", "P"), _col("division")).otherwise("A")))
-_project("derive_status", "CASE WHEN trim(raw_name) = '' THEN 'MISSING_NAME' WHEN try_cast(raw_price AS DOUBLE) IS NULL OR try_cast(raw_price AS DOUBLE) <= 0 THEN 'MISSING_PRICE' WHEN trim(raw_url) = '' THEN 'MISSING_IMAGE' ELSE 'OK' END AS status",
+_project("derive_status", "CASE WHEN trim(raw_name) = '' THEN 'Not Found' WHEN try_cast(raw_price AS DOUBLE) IS NULL OR try_cast(raw_price AS DOUBLE) = 0 THEN 'Price Not Found' WHEN trim(raw_url) = '' THEN 'Image Not Found' ELSE 'OK' END AS status",
          ("status", lambda: text.derive_status(_col("raw_name"), _col("raw_price").try_cast("double"), _col("raw_url"))))
 _project("promo_flag", f"{_ANY('lower(title)', text.PROMO_WORDS)} OR {_ANY('lower(brand)', text.PROMO_WORDS)} OR {_ANY('lower(category)', text.PROMO_CATEGORIES)} AS promo",
          ("promo", lambda: text.promo_flag(_col("title"), _col("brand"), _col("category"))))
@@ -97,7 +97,7 @@ _project("repair_gallery", f"array_to_string(list_transform({_GALLERY_SQL}, lamb
          ("gallery", lambda: F.array_join(_repaired(), ",")))
 _project("pick_image", f"coalesce(list_filter({_GALLERY_SQL}, lambda u: NOT ends_with(lower(u), '.png'))[1], 'missing') AS image", ("image", lambda: urls.pick_image(_gallery(), "missing")))
 _project("gallery_text", f"array_to_string({_GALLERY_SQL}[1:5], ' | ') AS gallery", ("gallery", lambda: urls.gallery_text(_gallery())))
-_project("vat_gross_up", r"CASE WHEN regexp_matches(title, '(?i)(vat|부가세)\s*(포함|별도|included|excluded)') THEN price ELSE price * CAST(1.1 AS DOUBLE) END AS gross, CAST(trunc(CASE WHEN regexp_matches(title, '(?i)(vat|부가세)\s*(포함|별도|included|excluded)') THEN price ELSE price * CAST(1.1 AS DOUBLE) END) AS BIGINT) AS page_price",
+_project("vat_gross_up", r"CASE WHEN regexp_matches(title, '(?i)VAT\s*(포함|별도|제외)') THEN price ELSE price * CAST(1.1 AS DOUBLE) END AS gross, CAST(trunc(CASE WHEN regexp_matches(title, '(?i)VAT\s*(포함|별도|제외)') THEN price ELSE price * CAST(1.1 AS DOUBLE) END) AS BIGINT) AS page_price",
          ("gross", lambda: money.vat_gross_up(_col("price"), _col("title"))), ("page_price", lambda: money.vat_gross_up(_col("price"), _col("title")).cast("long")))
 _project("clean_quantity", r"CAST(CASE WHEN contains(raw_qty, '미만') THEN greatest(try_cast(regexp_replace(replace(raw_qty, '천부', '000'), '[^\d]', '', 'g') AS INT) - 1, 0) ELSE try_cast(regexp_replace(replace(raw_qty, '천부', '000'), '[^\d]', '', 'g') AS INT) END AS DOUBLE) AS qty",
          ("qty", lambda: money.clean_quantity(_col("raw_qty")).cast("double")))

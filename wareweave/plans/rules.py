@@ -44,9 +44,12 @@ _over("upload_projection", "first_stage", lambda df: df.select(*[F.col(c).alias(
 _over("discover_diff_cols", "first_stage", lambda df: df.select("product_id", *[c for c in df.columns if "diff" in c and "pct" not in c]), "SELECT product_id, diff_2, diff_3 FROM first_stage")
 _over("reference_price_filter", "pairs", lambda df: rules.reference_price(df, "price", "offer_price").select("offer_id", "product_id", "offer_price"),
       "SELECT offer_id, product_id, offer_price FROM pairs WHERE offer_price > 0 AND ((offer_price - price) / price * 100 < 0 OR (offer_price - price) / price * 100 >= 10)")
-_over("match_status", "pairs", lambda df: df.select("offer_id", rules.match_status(F.col("text_sim"), F.col("price"), F.col("offer_price")).alias("status")),
-      """SELECT offer_id, CASE WHEN offer_price IS NULL THEN 'NO_MATCH' WHEN text_sim < 0.6E0 AND abs(offer_price - price) / price * 100 > 30 THEN 'LOW_SIMILARITY ' || CAST(CAST(round(text_sim * 100) AS INT) AS STRING) || '% / OUT_OF_RANGE'
-      WHEN text_sim < 0.6E0 THEN 'LOW_SIMILARITY ' || CAST(CAST(round(text_sim * 100) AS INT) AS STRING) || '%' WHEN abs(offer_price - price) / price * 100 > 30 THEN 'OUT_OF_RANGE' ELSE 'OK' END AS status FROM pairs""")
+_STATE = "CASE offer_id % 9 WHEN 0 THEN 'Extraction Failed' WHEN 1 THEN 'Image Not Found' ELSE 'OK' END"
+_LOW = "'Low Similarity (' || printf('%.2f', text_sim) || ' < 0.75)'"
+_FAR = "'Price Out of Range (200~4000)'"
+_over("match_status", "pairs", lambda df: df.select("offer_id", "product_id", "seller", rules.match_status(F.col("text_sim"), F.col("offer_price"), F.expr(_STATE), 200, 4000).alias("status")),
+      f"""SELECT offer_id, product_id, seller, CASE WHEN offer_price IS NULL THEN '{rules.NO_MATCH}' WHEN offer_id % 9 = 0 THEN '{rules.EXTRACTION_FAILED}' ELSE coalesce(nullif(concat_ws(' / ', CASE WHEN offer_id % 9 = 1 THEN '{rules.NO_IMAGE}' END,
+      CASE WHEN offer_price < 200 OR offer_price > 4000 THEN {_FAR} END, CASE WHEN text_sim < 0.75E0 THEN {_LOW} END), ''), 'OK') END AS status FROM pairs""")
 _over("highlight_flag", "first_stage", lambda df: df.select("product_id", rules.undercut().alias("highlight")), f"SELECT product_id, {_UNDER} AS highlight FROM first_stage")
 _over("issue_class", "pairs", lambda df: df.select("offer_id", rules.issue_class((F.col("offer_price") - F.col("price")) / F.col("price") * 100, F.col("stock"), F.lit("F")).alias("issue")),
       "SELECT offer_id, CASE WHEN abs((offer_price - price) / price * 100) > 10 AND stock <> 'F' THEN 'both' WHEN abs((offer_price - price) / price * 100) > 10 THEN 'price' WHEN stock <> 'F' THEN 'stock' ELSE 'normal' END AS issue FROM pairs")
@@ -57,6 +60,8 @@ _over("keyword_filter", "messy", lambda df: df.filter(~contains_any(F.col("title
 _over("quality_metrics", "messy",
       lambda df: df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.trim("raw_code") == "").alias("empty_codes"), F.count_if(~F.col("price").between(0.0, 1000.0)).alias("price_out"), F.count_if(~F.col("raw_url").rlike("^https?://")).alias("bad_urls"), F.count_if(~F.col("division").isin("A", "P")).alias("bad_divisions")),
       "SELECT count(*) AS n_rows, CAST(count_if(trim(raw_code) = '') AS BIGINT) AS empty_codes, CAST(count_if(NOT price BETWEEN 0.0 AND 1000.0) AS BIGINT) AS price_out, CAST(count_if(NOT regexp_matches(raw_url, '^https?://')) AS BIGINT) AS bad_urls, CAST(count_if(division NOT IN ('A', 'P')) AS BIGINT) AS bad_divisions FROM messy")
+_NAME = "CASE WHEN product_id % 11 = 0 THEN ' ' ELSE name END"
 _over("enrich_status", "first_stage",
-      lambda df: df.select("product_id", F.when(F.col("product_id") % 11 == 0, "no product name").when(F.col("price_2").isNull(), "no same product").when(F.col("product_id") % 10 < 6, "low text similarity").otherwise("OK").alias("status"), F.when(F.col("product_id") % 11 != 0, F.col("price_2")).alias("price_2")),
-      "SELECT product_id, CASE WHEN product_id % 11 = 0 THEN 'no product name' WHEN price_2 IS NULL THEN 'no same product' WHEN product_id % 10 < 6 THEN 'low text similarity' ELSE 'OK' END AS status, CASE WHEN product_id % 11 <> 0 THEN price_2 END AS price_2 FROM first_stage")
+      lambda df: df.withColumn("name", F.expr(_NAME)).withColumn("price_2", F.when(F.col("diff_2") < -500, F.col("price_2")))
+      .select("product_id", rules.enrich_status(F.col("name"), F.col("price_2"), F.lit("OK"), F.col("product_id") % 10 / 10.0).alias("status"), F.when(F.trim("name") != "", F.col("price_2")).alias("price_2")),
+      f"SELECT product_id, CASE WHEN product_id % 11 = 0 THEN '{rules.NO_NAME}' WHEN NOT coalesce(diff_2 < -500, false) THEN '{rules.NO_PRODUCT}' WHEN product_id % 10 < 6 THEN '{rules.LOW_TEXT}' ELSE 'OK' END AS status, CASE WHEN product_id % 11 <> 0 AND diff_2 < -500 THEN price_2 END AS price_2 FROM first_stage")

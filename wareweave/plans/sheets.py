@@ -24,8 +24,8 @@ def shared_folder(spark) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-_over("scan_sheet", "messy", lambda df: sheets.null_errors(df).select("product_id", "raw_price"), "SELECT product_id, CASE WHEN raw_price <> '#REF!' THEN raw_price END AS raw_price FROM messy")
-_over("harmonize_headers", "messy",
+_over("scan_catalog", "messy", lambda df: sheets.null_errors(df).select("product_id", "raw_price"), "SELECT product_id, CASE WHEN raw_price <> '#REF!' THEN raw_price END AS raw_price FROM messy")
+_over("harmonize_columns", "messy",
       lambda df: sheets.harmonize(df.select("product_id", F.col("name").alias("제품명"), F.col("price").alias("Price "), F.col("raw_url").alias("상품링크")), "product_id", "sheet")
       .toDF("product_id", "name", "price", "code", "image", "link", "source"),
       "SELECT product_id, name, price, 'GEN-' || CAST(product_id AS STRING) AS code, '' AS image, raw_url AS link, 'sheet' AS source FROM messy")
