@@ -2,9 +2,9 @@
 
 A text is split by the tokenizer's pattern. The distinct new pieces of a batch become
 token-position rows, one per byte, and one recursive query contracts them: every
-round joins neighbouring rows with the merge table, takes each piece's leftmost pair
-of minimum rank, replaces it by its merge, and stops for a piece that has no pair
-left. Ids are kept packed as little-endian unsigned 32-bit integers. Decoding joins
+round joins the rows of neighbouring tokens with the merge table, takes each piece's
+leftmost pair of minimum rank and replaces it by its merge; a piece without a pair
+drops out, and its shortest state is its ids. Ids are kept packed as little-endian unsigned 32-bit integers. Decoding joins
 the id rows with the vocabulary and puts the bytes together by an aggregation
 ordered by position. The result equals tiktoken's encode_ordinary and decode_bytes.
 
@@ -39,26 +39,24 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of a piece up to which the recursive query encodes it.
 LONG = 256
 #: Pieces and ids per query, and encoded pieces that a worker keeps.
-PIECES, IDS, CACHE = 20_000, 500_000, 600_000
+PIECES, IDS, CACHE = 30_000, 500_000, 600_000
 DUCKDB_MEMORY = "300MB"
 
 ENCODE = """
-WITH RECURSIVE step(piece, pos, token, live) AS (
-  SELECT piece, pos, token, true FROM start_rows
+WITH RECURSIVE step(piece, tokens) AS (
+  SELECT piece, list(token ORDER BY pos) FROM start_rows GROUP BY piece
   UNION ALL
-  SELECT piece, pos, CASE WHEN pos = (best >> 16) & 65535 THEN (best >> 32)::INTEGER ELSE token END, best IS NOT NULL
-  FROM (
-    SELECT s.piece, s.pos, s.token,
-           min((m.merged::BIGINT << 32) | (s.pos << 16) | s.next_pos) OVER (PARTITION BY s.piece) AS best
+  SELECT s.piece, list_concat(list_append(s.tokens[1:(b.best & 65535) - 1], (b.best >> 16)::INTEGER), s.tokens[(b.best & 65535) + 2:])
+  FROM step s JOIN (
+    SELECT r.piece, min((m.merged::BIGINT << 16) | r.pos) AS best
     FROM (
-      SELECT piece, pos, token, lead(token) OVER (PARTITION BY piece ORDER BY pos) AS next_token,
-             lead(pos) OVER (PARTITION BY piece ORDER BY pos) AS next_pos
-      FROM step WHERE live
-    ) s LEFT JOIN merges m ON m.pair = (s.token::BIGINT << 32) | s.next_token
-  )
-  WHERE best IS NULL OR pos <> best & 65535
+      SELECT piece, unnest(tokens[1:-2]) AS token, unnest(tokens[2:]) AS next_token, unnest(range(1, len(tokens))) AS pos
+      FROM step
+    ) r JOIN merges m ON m.pair = (r.token::BIGINT << 32) | r.next_token
+    GROUP BY r.piece
+  ) b ON b.piece = s.piece
 )
-SELECT piece, list(token ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY piece ORDER BY piece
+SELECT piece, arg_min(tokens, len(tokens)) AS ids FROM step GROUP BY piece ORDER BY piece
 """
 DECODE = """
 SELECT i.doc, unhex(string_agg(v.hex, '' ORDER BY i.pos)) AS bytes
