@@ -527,3 +527,15 @@ def test_pipeline_stages(spark, tmp_path):
             assert math.isclose(size(rows), size(old), rel_tol=0.2)
     assert kept["byte-level bpe"] == kept["mixing"]
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_sample_is_bounded_by_repeated_rows(spark):
+    from wareweave.llm.sampling import labelled_sample
+
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids for _ in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic long")
+    sample, population = labelled_sample(df, labels, "toxic", 20)
+    found = sample.collect()
+    assert Counter(r["label"] for r in found) == {0: 20, 1: 20} and len({r["text"] for r in found}) == 40
+    assert population == {c: sum(i % 2 == c for i in ids) for c in (0, 1)}

@@ -32,4 +32,6 @@ def labelled_sample(
     taken = [known.filter(F.col("label") == c).orderBy(order, "doc_id").limit(rows_per_class) for c in (0, 1)]
     ids = taken[0].unionByName(taken[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
     found = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(ids), "doc_id")
-    return found.select("text", "label"), {c: sizes.get(c, 0) for c in (0, 1)}
+    # repeated rows of an id count once, so that the sample keeps its bound
+    once = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return once.select("text", "label"), {c: sizes.get(c, 0) for c in (0, 1)}
