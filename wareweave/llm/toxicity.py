@@ -114,10 +114,10 @@ def fit(rows: list[np.ndarray], label: np.ndarray, population: dict[int, int]) -
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Machine:
     """Fit on the bounded sample; only its term hashes come to the driver."""
     sample, population = labelled_sample(docs, labels, label, rows_per_class)
-    added = T.StructType([T.StructField("terms", T.ArrayType(T.LongType()))])
-    hashed = add_columns(sample, "text", added, lambda texts: [pa.array([terms(t) for t in texts], pa.list_(pa.int64()))])
-    found = hashed.select("terms", "label").toArrow()
-    rows = [np.asarray(r, np.int64) for r in found.column("terms").to_pylist()]
+    added = T.StructType([T.StructField("terms", T.BinaryType())])  # packed: four bytes a term
+    packed = lambda texts: [pa.array([np.array(terms(t), np.uint32).tobytes() for t in texts], pa.binary())]
+    found = add_columns(sample, "text", added, packed).select("terms", "label").toArrow()
+    rows = [np.frombuffer(r.as_buffer(), np.uint32) for r in found.column("terms")]
     return fit(rows, found.column("label").to_numpy().astype(np.int64), population)
 
 
