@@ -539,3 +539,21 @@ def test_sample_is_bounded_by_repeated_rows(spark):
     found = sample.collect()
     assert Counter(r["label"] for r in found) == {0: 20, 1: 20} and len({r["text"] for r in found}) == 40
     assert population == {c: sum(i % 2 == c for i in ids) for c in (0, 1)}
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_pipeline_stages_on_odd_rows(spark, docs, empty, tmp_path, rows):
+    import corpus_pipeline
+
+    table = docs.withColumn("extra", F.lit(7)) if rows == "odd" else empty
+    columns, source = table.columns, {(r[0], r[1]) for r in ROWS}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, table, SF).write.parquet(str(tmp_path / str(k)))
+        table = spark.read.parquet(str(tmp_path / str(k)))
+        if k < 4:
+            assert table.columns == columns
+            assert {(r["doc_id"], r["text"]) for r in table.collect()} <= source
+        if k == 1 and rows == "odd":  # one row of equal texts, nulls and blanks being equal
+            assert sorted((r["doc_id"] for r in table.select("doc_id").collect()), key=str) == sorted([2, 6, 7, 8, 9, None], key=str)
+    assert set(table.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+    assert (table.count() == 0) == (rows == "none")

@@ -175,7 +175,7 @@ class Codec:
         return out
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, str], Codec] = {}
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -184,8 +184,8 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))  # a tokenizer's fixed 50,256 entries
 
     def work(texts: list[str]) -> list[pa.Array]:
-        if (codec := _codecs.get(path)) is None:
-            codec = _codecs[path] = Codec(ranks.value, pattern)
+        if (codec := _codecs.get((path, pattern))) is None:
+            codec = _codecs[path, pattern] = Codec(ranks.value, pattern)
         ids = codec.encode(texts)
         return [pa.array(ids, pa.binary()), pa.array(codec.decode(ids), pa.binary())]
 
