@@ -113,13 +113,18 @@ def hash_near(vectors: DataFrame, differing: int = 4) -> DataFrame:
 
 
 def first_stage(catalog: DataFrame, offers: DataFrame) -> DataFrame:
-    """Every product with the best price and quantity of each channel side by side."""
-    best = offers.groupBy("product_id", "channel").agg(F.min("price").alias("p"), F.min("qty").cast("double").alias("q"))
-    out = catalog.select("product_id", "name", "price")
+    """Every product with the best price and quantity of each channel side by side.
+
+    Both channels come from one scan and one aggregation by product.
+    """
+    of = lambda n, c: F.min(F.when(F.col("channel") == f"c{n}", F.col(c)))
+    best = offers.groupBy("product_id").agg(
+        *[of(n, c).cast("double").alias(f"{c}_{n}") for n in ("2", "3") for c in ("price", "qty")]
+    )
+    out = catalog.select("product_id", "name", "price").join(best, "product_id", "left")
     for n in ("2", "3"):
-        side = best.filter(F.col("channel") == f"c{n}").select("product_id", F.col("p").alias(f"price_{n}"), F.col("q").alias(f"qty_{n}"))
         diff = F.col(f"price_{n}") - F.col("price")
-        out = out.join(side, "product_id", "left").withColumn(f"diff_{n}", diff).withColumn(f"pct_{n}", diff / F.col("price") * 100)
+        out = out.withColumn(f"diff_{n}", diff).withColumn(f"pct_{n}", diff / F.col("price") * 100)
     return out
 
 

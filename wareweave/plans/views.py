@@ -44,13 +44,15 @@ FROM {part}
 #: Best offer of each channel beside its product: the first-stage table.
 FIRST_STAGE = """
 WITH o AS (""" + OFFERS + """), b AS (
-  SELECT product_id, channel, MIN(price) AS price, MIN(qty) AS qty FROM o GROUP BY product_id, channel
-), c2 AS (SELECT * FROM b WHERE channel = 'c2'), c3 AS (SELECT * FROM b WHERE channel = 'c3')
+  SELECT product_id, MIN(CASE WHEN channel = 'c2' THEN price END) AS price_2, MIN(CASE WHEN channel = 'c2' THEN qty END) AS qty_2,
+    MIN(CASE WHEN channel = 'c3' THEN price END) AS price_3, MIN(CASE WHEN channel = 'c3' THEN qty END) AS qty_3
+  FROM o GROUP BY product_id
+)
 SELECT p.p_partkey AS product_id, p.p_name AS name, p.p_retailprice AS price,
-  c2.price AS price_2, c2.price - p.p_retailprice AS diff_2, (c2.price - p.p_retailprice) / p.p_retailprice * 100 AS pct_2, CAST(c2.qty AS DOUBLE) AS qty_2,
-  c3.price AS price_3, c3.price - p.p_retailprice AS diff_3, (c3.price - p.p_retailprice) / p.p_retailprice * 100 AS pct_3,
-  CASE WHEN p.p_partkey % 3 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(c3.qty AS DOUBLE) END AS qty_3
-FROM {part} p LEFT JOIN c2 ON p.p_partkey = c2.product_id LEFT JOIN c3 ON p.p_partkey = c3.product_id
+  price_2, price_2 - p_retailprice AS diff_2, (price_2 - p_retailprice) / p_retailprice * 100 AS pct_2, CAST(qty_2 AS DOUBLE) AS qty_2,
+  price_3, price_3 - p_retailprice AS diff_3, (price_3 - p_retailprice) / p_retailprice * 100 AS pct_3,
+  CASE WHEN p_partkey % 3 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(qty_3 AS DOUBLE) END AS qty_3
+FROM {part} p LEFT JOIN b ON p.p_partkey = b.product_id
 """
 #: Scored pairs of products and their offers: scores come from keys, so both engines agree.
 PAIRS = """
