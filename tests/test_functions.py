@@ -32,6 +32,10 @@ def one(spark, column, **values):
         (urls.clean_image_url, "없음", ""),
         (urls.normalize_url, "http://user@a.com/b c", "https://usera.com/b%20c"),
         (urls.clean_url, "nan", ""),
+        (urls.likely_image, "https://cdn.pixabay.com/1", True),
+        (urls.likely_image, "https://a.com/x.JPG", True),
+        (urls.likely_image, "https://a.com/x", False),
+        (urls.shown_image, "https://a.com/btn_x.png", False),
         (urls.clean_url, None, ""),
     ],
 )

@@ -11,6 +11,10 @@ IMAGE_END = r"(?i)\.(jpe?g|png|gif|webp|bmp)([?#].*)?$"
 NO_IMAGE = ("없음", "none", "null", "na", "-")
 UI_PARTS = r"(?i)(icon|button|btn|bg_|pixel\.gif|blank\.gif|spacer\.gif)"
 IMAGE_PARTS = r"(?i)(image|img|photo|picture|thumbnail|thumb)"
+IMAGE_HOSTS = (
+    "i.jclgift.com", "koreagift.com", "img.danawa.com", "shopping-phinf.pstatic.net", "image.gmarket.co.kr",
+    "image.auction.co.kr", "thumbnail.image.rakuten.co.jp", "cdn.pixabay.com", "images.unsplash.com",
+)
 
 
 def clean_url(c: Column) -> Column:
@@ -40,8 +44,9 @@ def clean_image_url(c: Column) -> Column:
 
 
 def likely_image(c: Column) -> Column:
-    """An image file's ending, or a part of the address that speaks for an image."""
-    return F.coalesce(c.rlike(IMAGE_END) | c.rlike(IMAGE_PARTS), F.lit(False))
+    """An image file's ending, an image host, or a part that speaks for an image."""
+    hosts = F.lower(c).rlike("|".join(h.replace(".", "[.]") for h in IMAGE_HOSTS))
+    return F.coalesce(c.rlike(IMAGE_END) | hosts | c.rlike(IMAGE_PARTS), F.lit(False))
 
 
 def shown_image(c: Column) -> Column:
