@@ -12,7 +12,7 @@ NO_IMAGE = ("없음", "none", "null", "na", "-")
 UI_PARTS = r"(?i)(icon|button|btn|bg_|pixel\.gif|blank\.gif|spacer\.gif)"
 IMAGE_PARTS = r"(?i)(image|img|photo|picture|thumbnail|thumb)"
 IMAGE_HOSTS = (
-    "i.jclgift.com", "koreagift.com", "img.danawa.com", "shopping-phinf.pstatic.net", "image.gmarket.co.kr",
+    "img.danawa.com", "shopping-phinf.pstatic.net", "image.gmarket.co.kr",
     "image.auction.co.kr", "thumbnail.image.rakuten.co.jp", "cdn.pixabay.com", "images.unsplash.com",
 )
 
