@@ -1,5 +1,6 @@
 """Cases with known results for the column functions and rules."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,15 @@ def test_parts_are_full_but_the_last(spark):
     df = spark.range(700).select((F.col("id") * 1_000_003 % 2_000_000_011).alias("seq"))
     sizes = {r["part"]: r["part_size"] for r in split_parts(df, "seq").collect()}
     assert sizes == {1: 300, 2: 300, 3: 100}
+
+
+@pytest.mark.parametrize("rows", [7, 1000])
+def test_nearest_vectors_of_any_label(spark, rows):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(60, 8))
+    data = [(i, v.tolist(), None if i % 7 == 0 else i % 5) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "vec_id int, embedding array<double>, label int")
+    unit = values / np.linalg.norm(values, axis=1, keepdims=True)
+    want = {(q, int(v), r) for q in range(0, 60, 10) for r, v in enumerate([v for v in np.argsort(-(unit @ unit[q])) if v != q][:3], 1)}
+    found = joins.cosine_topk(df, df.filter("vec_id % 10 = 0"), None, 3, rows).collect()
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found} == want

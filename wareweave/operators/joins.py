@@ -19,6 +19,9 @@ CATEGORY_GROUPS = {
     "생활용품": ("주방", "욕실", "청소", "수납"),
 }
 
+#: Rows of a block where every query meets every vector.
+BLOCK_ROWS = 1000
+
 
 def price_band_join(left: DataFrame, right: DataFrame, price: str, other: str, on: list[str], low: float, high: float, most: float = 0.3) -> DataFrame:
     """Rows whose prices are compatible, as an equi-join on buckets of the log price.
@@ -81,12 +84,26 @@ def jaccard_join(names: DataFrame, name: str, least: float) -> DataFrame:
     return pairs.filter(F.col("similarity") >= least).distinct()
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, block: str, k: int) -> DataFrame:
-    """The k nearest vectors of each query within its block: query_id, vec_id, cosine, rank."""
+def cosine_topk(vectors: DataFrame, queries: DataFrame, block: str | None, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k nearest vectors of each query: query_id, vec_id, cosine, rank.
+
+    With a ``block`` column only vectors of the query's block are compared, without one
+    all are: queries and vectors are dealt into blocks of about ``rows`` rows, and every
+    block of queries meets every block of vectors. Each part keeps its own k best of a
+    query before they are merged.
+    """
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    q = queries.select(block, F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), norm("embedding").alias("qn"))
+    q = queries.select(*[block] * (block is not None), F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), norm("embedding").alias("qn"))
     v = vectors.withColumn("vn", norm("embedding"))
-    pairs = q.join(v, block).filter("query_id <> vec_id")
+    if block is not None:
+        on = [block]
+    else:
+        on, mine, theirs = ["__ww_q", "__ww_v"], -(-queries.count() // rows) or 1, -(-vectors.count() // rows) or 1
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+        q = q.withColumn("__ww_q", deal("query_id", mine)).withColumn("__ww_v", every(theirs))
+        v = v.withColumn("__ww_v", deal("vec_id", theirs)).withColumn("__ww_q", every(mine))
+    pairs = q.join(v, on).filter("query_id <> vec_id")
     scored = pairs.select("query_id", "vec_id", (dot(F.col("qv"), F.col("embedding")) / (F.col("qn") * F.col("vn"))).alias("cosine"))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -53,6 +53,13 @@ QUERIES["embedding_topk"] = (
     SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(q.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE)))) * sqrt(list_sum(list_transform(v.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE))))) AS cosine
     FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)) WHERE rank <= 5""",
 )
+QUERIES["embedding_topk_all"] = (
+    lambda spark, sf_dir: joins.cosine_topk(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0"), None, 5)
+    .select("query_id", "vec_id", F.round("cosine", 4).alias("cosine"), "rank"),
+    """SELECT query_id, vec_id, round(cosine, 4) AS cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(q.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE)))) * sqrt(list_sum(list_transform(v.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE))))) AS cosine
+    FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 5""",
+)
 
 
 def _hash_near(spark, sf_dir):
