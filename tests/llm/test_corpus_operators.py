@@ -489,6 +489,14 @@ def test_license_paragraphs(spark):
     assert {(r["doc_id"], r["paragraph"], r["family"]) for r in found} == {(0, 1, "MIT"), (1, 1, "Apache-2.0"), (2, 1, "GPL"), (3, 1, "CC-BY-NC")}
 
 
+def test_each_license_template_alone(spark):
+    want = [(family, notice) for family, notices in licenses.TEMPLATES.items() for notice in notices]
+    plain = [(100 + i, f"some plain text about nothing at all {i}\nshort line") for i in range(20)]
+    df = spark.createDataFrame([*((i, notice) for i, (_, notice) in enumerate(want)), *plain], "doc_id long, text string")
+    found = licenses.scan(df, licenses.fit(licenses.background_paragraphs(df))).filter("confirmed").collect()
+    assert {(r["doc_id"], r["family"]) for r in found} == {(i, family) for i, (family, _) in enumerate(want)}
+
+
 def test_every_license_line_of_the_test_table(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
