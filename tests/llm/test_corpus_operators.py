@@ -372,6 +372,14 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark):
 # URLs
 
 
+def test_bands_follow_the_spread_of_the_language(spark):
+    values = np.random.default_rng(4).normal(1.6, 0.02, 2000)
+    rows = [("en", i, float(e), False) for i, e in enumerate(values)]
+    low, high = perplexity.bands(spark.createDataFrame(rows, "lang string, text_hash long, entropy double, base_failed boolean")).select("low", "high").first()
+    assert low > 1.6 - 5 * 0.02 and high < 1.6 + 5 * 0.02
+    assert ((values >= low) & (values <= high)).mean() > 0.99
+
+
 def test_url_rules(spark):
     cases = [
         (1, "https://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"),
