@@ -2,24 +2,29 @@
 
 Two fingerprints at most two bits apart share at least six of their eight bytes, each
 at its own position: that is the guaranteed minimum of the count filter. A posting
-list per single byte value would hold a 256th of all fingerprints, so the index
-posts four positional bytes at once: the bytes form four neighbouring pairs, any two
-differing bytes leave two pairs intact, and each of the six choices of two pairs is
-one key. Fingerprints that meet under a key get their shared positional bytes
-tallied; pairs with six or more are verified by the count of differing bits.
+list per single byte value would hold a 256th of all fingerprints, so a posting's key is
+the value of several positional bytes at once. The first index has twelve keys of four
+bytes: choices of two pairs out of the pairings of i with i+1, i+2 and i+4 (by bit), so
+that the keys inside any six positions cover all six of them. Every pair that meets is
+tallied: the positional bytes of all keys under which it met are put together, pairs with
+fewer than six are dropped, and what is left is verified by the count of differing bits.
 
 Only distinct fingerprints are indexed, so copies never meet. A key with more than
-``HOT`` fingerprints is not paired at all: its fingerprints post themselves under
-all 65 values at most one bit away. Two fingerprints share such a value exactly if
-they are at most two bits apart, and no value can have more than 65 posters, so this
-way is exact and linear for groups of any size. Links are joined into components by
+``hot`` fingerprints is not paired: its fingerprints are split further by two more
+positional bytes each, that is, posted under all 28 keys of six bytes and tallied alike;
+a pair that met under the crowded key shares one of them. Fingerprints crowded even
+there agree in six bytes with more than ``hot`` others out of the 65,536 that can, and
+post themselves under all 65 values at most one bit away. Two fingerprints share such a
+value exactly if they are at most two bits apart, and no value can have more than 65
+posters, so this last way is exact and linear. Links are joined into components by
 alternating stars.
 
 Defined cases: a text without words (null, empty, white space) has fingerprint zero
-and is linked like any other; fewer than three words form one shingle; repeated rows
-get the same result; a null doc_id is a member but never names a component unless
-all members' ids are null; an empty table gives an empty result; other columns are
-not read.
+and is linked like any other; fewer than three words form one shingle; a very long text
+is hashed whole, its bits unpacked in blocks; a bit set in exactly half of the hashes is
+0; repeated rows get the same result; a null doc_id is a member but never names a
+component unless all members' ids are null; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -45,12 +50,20 @@ BITS = 2
 MIN_SHARED = 8 - BITS
 #: Fingerprints under one key up to which pairs are formed.
 HOT = 64
+#: A fingerprint of more than one row in so many is joined by broadcast.
+FREQUENT = 1000
+#: Two hashes of all columns tell rows apart (96 bits).
+ROW = ("__ww_row", "__ww_row2")
 
 
-def _masks() -> list[int]:
-    """The six masks of four positional bytes, as signed 64-bit integers."""
-    pairs = [0xFFFF << (16 * i) for i in range(4)]
-    return [int(np.array(a | b, np.uint64).astype(np.int64)) for a, b in combinations(pairs, 2)]
+def _four_bytes() -> list[tuple[int, ...]]:
+    """The choices of four positions: two pairs of one of three pairings of the eight."""
+    pairings = [{tuple(sorted((i, i ^ d))) for i in range(8)} for d in (1, 2, 4)]
+    return sorted({tuple(sorted(a + b)) for p in pairings for a, b in combinations(sorted(p), 2)})
+
+
+def _six_bytes() -> list[tuple[int, ...]]:
+    return list(combinations(range(8), MIN_SHARED))
 
 
 def shingle_hashes(text: str) -> list[int]:
@@ -80,70 +93,98 @@ def simhashes(texts: list[str]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row."""
-    rows = docs.select("doc_id", whole_text().alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, other columns, fp) of every row."""
+    rows = docs.select("doc_id", *others, whole_text().alias("text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = pa.array(simhashes(strings(part.column("text"))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), fp], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], fp], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _shared_bytes(a, b):
-    """Positional bytes on which two fingerprints agree."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    same = [(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8)]
-    return sum(same[1:], same[0])
+def _signed(value: int) -> int:
+    return int(np.array(value, np.uint64).astype(np.int64))
 
 
-def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b) pairs that connect all distinct fingerprints at most two bits apart."""
-    masks = F.array(*[F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(_masks())])
-    postings = fps.select("fp", F.inline(masks))
-    sizes = postings.groupBy("at", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = checkpoint(postings.join(sizes, ["at", "bytes"]))
-    cold = members.filter(F.col("n") <= hot).select("at", "bytes", "fp")
-    pairs = (
+def _met(fps: DataFrame, choices: list[tuple[int, ...]], hot: int) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs that meet under keys of at most hot members, and the members of other keys."""
+    keys = F.array(
+        *[
+            F.struct(
+                F.lit(sum(1 << i for i in positions)).alias("positions"),
+                F.col("fp").bitwiseAND(F.lit(_signed(sum(0xFF << 8 * i for i in positions)))).alias("bytes"),
+            )
+            for positions in choices
+        ]
+    )
+    postings = fps.select("fp", F.inline(keys))
+    sizes = postings.groupBy("positions", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = checkpoint(postings.join(sizes, ["positions", "bytes"]))
+    cold = members.filter(F.col("n") <= hot).select("positions", "bytes", "fp")
+    tally = (
         cold.withColumnRenamed("fp", "a")
-        .join(cold.withColumnRenamed("fp", "b"), ["at", "bytes"])
+        .join(cold.withColumnRenamed("fp", "b"), ["positions", "bytes"])
         .filter("a < b")
-        .filter(_shared_bytes("a", "b") >= MIN_SHARED)
-        .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
-        .select("a", "b")
+        .groupBy("a", "b")
+        .agg(F.bit_count(F.bit_or("positions")).alias("shared"))
     )
-    crowded = members.filter(F.col("n") > hot).select("fp").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(int(np.array(1 << i, np.uint64).astype(np.int64)))) for i in range(64)])
+    enough = tally.filter(F.col("shared") >= MIN_SHARED)
+    verified = enough.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
+    return verified.select("a", "b"), members.filter(F.col("n") > hot).select("fp").distinct()
+
+
+def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b) pairs that connect all distinct fingerprints at most two bits apart."""
+    pairs, crowded = _met(fps, _four_bytes(), hot)
+    more, crowded = _met(crowded, _six_bytes(), hot)
+    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
     near = crowded.select("fp", F.explode(flips).alias("value")).groupBy("value").agg(F.collect_list("fp").alias("posters"))
     stars = near.filter(F.size("posters") > 1).select(F.array_min("posters").alias("a"), F.explode("posters").alias("b"))
-    return pairs.unionByName(stars.filter("a <> b"))
+    return pairs.unionByName(more).unionByName(stars.filter("a <> b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row."""
-    rows = checkpoint(fingerprints(docs))
-    fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(fps)).withColumnRenamed("node", "fp")
+def _linked(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, fp and others, checkpointed) with root and component_id.
+
+    A fingerprint of more than a thousandth of all rows is settled by a broadcast of
+    those few, so that a large group of copies is not one task of the join.
+    """
+    fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(
+    by_fp = checkpoint(rooted.join(named, "root").select("fp", "root", "component_id", "n"))
+    frequent = by_fp.filter(F.col("n") * FREQUENT > rows.count()).drop("n")  # fewer than FREQUENT rows
+    ordinary = rows.join(F.broadcast(frequent.select("fp")), "fp", "left_anti").join(by_fp.drop("n"), "fp")
+    return rows.join(F.broadcast(frequent), "fp").unionByName(ordinary)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row."""
+    return _linked(checkpoint(fingerprints(docs))).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: each component keeps its smallest doc_id.
+    """docs without near duplicates: each component keeps one row.
 
-    A row without doc_id cannot be named and stays.
+    It is the row with the smallest doc_id (null last), then the smallest hash of all
+    its columns; rows equal in every column count as one. The decision is by row, so
+    rows that share a doc_id but not a component are judged apart.
     """
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    hashable = [f"`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)]
+    hashes = F.xxhash64(*hashable), F.hash(*hashable)
+    keyed = docs.withColumns(dict(zip(ROW, hashes, strict=True)))
+    linked = _linked(checkpoint(fingerprints(keyed, ROW)))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("first")
+    kept = linked.groupBy("root").agg(first).select(*[F.col(f"first.{c}").alias(c) for c in ROW])
+    return keyed.join(kept, list(ROW), "left_semi").dropDuplicates(list(ROW)).drop(*ROW)
 
 
 def simhash_query(spark, sf_dir: str) -> DataFrame:
