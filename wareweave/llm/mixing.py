@@ -5,18 +5,22 @@ times the source, the excess reshared. Every document of a source then expects
 target/source_size copies; the prefix sum of these expected copies along the
 source's order, plus one random offset of the source, crosses an integer once for
 each copy that is emitted. The order goes by size class (integer part of the square
-root), then by the MD5 of doc_id, so a systematic sample takes every size class in
-proportion. The offset is the one of ``OFFSETS`` pseudo-random draws, fixed by the
-source's name, whose sample comes nearest to the target.
+root), then by an MD5 of doc_id and text, so a systematic sample takes every size class in
+proportion and its words come near the target whatever the offset. The offset is one
+pseudo-random draw, seeded by the source's name, so reruns agree; every document of a
+source has the same expected number of copies.
 
 No source is gathered in one task: a source is cut into blocks by size class and
-MD5 prefix, blocks are numbered inside and get their start from the block counts.
-
-Defined cases: a null text has size 0 and may be emitted, taking nothing; a null
-source is a source of its own, sorted last; a null doc_id counts as the text "null"
-in the order; repeated rows are sampled as rows; a source without words has target
-0; an empty table gives an empty result; input columns named like an output column
-are replaced, all other columns pass through.
+MD5 prefix (256 of each class: a source of 10^10 documents in twenty classes has two
+million rows a block), blocks are numbered inside and get their start from the block
+counts. The text is part of the MD5, so rows without doc_id spread like all others.
+
+Defined cases: a null text has size 0 and may be emitted, taking nothing; a very long
+text counts all its words and is a class of its own size; a null source is a source of
+its own, sorted last; a null doc_id counts as the text "null" in the order; ties are
+rows of the same doc_id and text, which are alike; repeated rows are sampled as rows; a source without words has
+target 0; an empty table gives an empty result; input columns named like an output
+column are replaced, all other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +33,6 @@ from wareweave.llm.common import WORD, checkpoint, shield, table, unshield, whol
 WEIGHTS = (5, 2, 1)
 #: A source is taken this many times over at most.
 CAP = 3
-OFFSETS = 16
 #: Hexadecimal digits of the MD5 that cut a size class into blocks.
 BLOCK_DIGITS = 2
 #: Sources up to which their table is broadcast; beyond it the join is left to AQE.
@@ -37,7 +40,7 @@ BROADCAST_SOURCES = 20_000
 ADDED = ("size", "source_size", "target", "copies", "taken")
 #: Other names that a mix uses on the way.
 WORKING = ("sid", "ratio", "offset", "start")
-ORDER = ("__ww_class", "__ww_md5", "doc_id", "size", "__ww_text")
+ORDER = ("__ww_class", "__ww_md5", "doc_id")
 BLOCK = ("__ww_class", "__ww_block")
 
 
@@ -48,9 +51,8 @@ def sized(docs: DataFrame) -> DataFrame:
         without(docs, *ADDED, *WORKING)
         .withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long"))
         .withColumn("__ww_class", F.floor(F.sqrt("size")).cast("int"))
-        .withColumn("__ww_md5", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")))
+        .withColumn("__ww_md5", F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text.cast("binary"))).cast("binary")))
         .withColumn("__ww_block", F.substring("__ww_md5", 1, BLOCK_DIGITS))
-        .withColumn("__ww_text", F.xxhash64(text))
     )
 
 
@@ -120,13 +122,13 @@ def _copies(at, ratio, offset):
 
 
 def plan_mix(rows: DataFrame, weights=WEIGHTS, cap=CAP) -> tuple[DataFrame, DataFrame]:
-    """Source table with targets and chosen offsets, and the start of every block."""
+    """Source table with targets and offsets, and the start of every block."""
     sources = source_targets(rows, weights, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    draw = lambda k: F.conv(F.substring(F.md5(F.concat(name, F.lit(f"#{k}")).cast("binary")), 1, 8), 16, 10)
-    sources = sources.withColumn("ratio", ratio).withColumn(
-        "offsets", F.array(*[draw(k).cast("double") / 4294967296.0 for k in range(OFFSETS)])
+    draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    sources = checkpoint(
+        sources.select("source", "sid", "source_size", "target", ratio.alias("ratio"), draw.alias("offset"))
     )
     counts = rows.groupBy("source", *BLOCK).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumnRenamed("source", "__ww_source").join(
@@ -134,15 +136,7 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, cap=CAP) -> tuple[DataFrame, Data
     )
     before = Window.partitionBy("sid").orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = checkpoint(counts.select("sid", *BLOCK, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
-    at = placed(rows, sources, starts)
-    tried = [
-        F.sum(F.col("size") * _copies(F.col("__ww_at"), F.col("ratio"), F.col("offsets")[k])).alias(f"t{k}")
-        for k in range(OFFSETS)
-    ]
-    misses = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")), F.col("offsets")[k].alias("u")) for k in range(OFFSETS)])
-    taken = at.groupBy("sid").agg(*tried)
-    chosen = sources.join(taken, "sid").withColumn("offset", F.array_min(misses)["u"])
-    return checkpoint(chosen.select("source", "sid", "source_size", "target", "ratio", "offset")), starts
+    return sources, starts
 
 
 def mix(rows: DataFrame, sources: DataFrame, starts: DataFrame) -> DataFrame:
@@ -151,12 +145,12 @@ def mix(rows: DataFrame, sources: DataFrame, starts: DataFrame) -> DataFrame:
     return (
         at.withColumn("copies", _copies(F.col("__ww_at"), F.col("ratio"), F.col("offset")))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("sid", "ratio", "offset", "__ww_at", *BLOCK, "__ww_md5", "__ww_text")
+        .drop("sid", "ratio", "offset", "__ww_at", *BLOCK, "__ww_md5")
     )
 
 
 def narrow(rows: DataFrame) -> DataFrame:
-    return checkpoint(rows.select("doc_id", "source", "size", *BLOCK, "__ww_md5", "__ww_text"))
+    return checkpoint(rows.select("doc_id", "source", "size", *BLOCK, "__ww_md5"))
 
 
 def emit(docs: DataFrame) -> DataFrame:
@@ -176,7 +170,9 @@ def mix_query(spark, sf_dir: str) -> DataFrame:
 
 MIX_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ' ' || md5(coalesce(text, ''))) AS hash
+  FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid
@@ -200,18 +196,11 @@ WITH RECURSIVE d AS (
 ), p AS (
   SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source, t.sid, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS ratio,
-         row_number() OVER (PARTITION BY t.sid ORDER BY floor(sqrt(d.size)), md5(CAST(doc_id AS VARCHAR)), doc_id) AS pos
+         row_number() OVER (PARTITION BY t.sid ORDER BY floor(sqrt(d.size)), d.hash, doc_id) AS pos,
+         CAST(('0x' || substr(md5(coalesce('s' || t.source, 'n')), 1, 8)) AS BIGINT) / 4294967296.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), u AS (
-  SELECT sid, k, CAST(('0x' || substr(md5(coalesce('s' || source, 'n') || '#' || CAST(k AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u
-  FROM t, range(16) r(k)
-), m AS (
-  SELECT p.sid, u.u, abs(sum(size * (floor(u.u + ratio * pos) - floor(u.u + ratio * (pos - 1)))) - any_value(target)) AS miss
-  FROM p JOIN u USING (sid) GROUP BY p.sid, u.k, u.u
-), b AS (
-  SELECT sid, u FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY miss, u) AS r FROM m) WHERE r = 1
 )
 SELECT doc_id, size, source_size, target,
        CAST(size * (floor(u + ratio * pos) - floor(u + ratio * (pos - 1))) AS BIGINT) AS taken
-FROM p JOIN b USING (sid)
+FROM p
 """
