@@ -6,11 +6,13 @@ a learned vector; learned filters of ``WIDTH`` bytes move over a chunk every ``S
 bytes, are rectified and max-pooled over the chunk. The chunks' maxima are combined
 by their maximum and their mean, and one logistic unit turns these into a
 probability. The network is fitted by Adam on whole texts of a bounded sample of
-labelled rows outside the held-out fold (``ROWS_PER_CLASS`` of each class); its bias
-is then moved to the class frequencies of all labelled rows.
+labelled rows outside the held-out fold (``ROWS_PER_CLASS`` of each class and
+``SAMPLE_BYTES`` of text); its bias is then moved to the class frequencies of all
+labelled rows.
 
 Defined cases: a null text counts as empty; an empty text is a chunk of padding and
-gets its score; repeated rows get the same score; without labelled rows of both
+gets its score; a very long text is scored whole, in pieces that overlap like its chunks;
+of equal maxima the first window counts; repeated rows get the same score; without labelled rows of both
 classes the score is the smoothed share of good labels; an empty table gives an empty
 result; input columns named like an output column are replaced.
 """
@@ -30,6 +32,7 @@ from wareweave.llm.common import table, whole_text
 from wareweave.llm.sampling import held_out, labelled_sample
 
 ROWS_PER_CLASS = 1500
+SAMPLE_BYTES = 32 << 20
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE, VECTOR, FILTERS = 8, 4, 6, 24
 EPOCHS, BATCH, RATE = 8, 32, 0.01
@@ -171,7 +174,7 @@ def _gradients(net: Network, texts: list[bytes], label: np.ndarray, weight: np.n
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> Network:
     """Fit on whole texts of the bounded sample."""
-    sample, population = labelled_sample(docs, labels, label, rows_per_class)
+    sample, population = labelled_sample(docs, labels, label, rows_per_class, SAMPLE_BYTES)
     found = sample.toArrow()
     texts = [(t or "").encode("utf-8", "surrogatepass") for t in found.column("text").to_pylist()]
     return fit(texts, found.column("label").to_numpy().astype(np.int64), population)

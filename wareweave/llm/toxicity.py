@@ -1,19 +1,26 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is the set of its terms (lower-cased words, cut at ASCII signs and blanks, and
-their beginnings), each a 32-bit CRC. The machine has a bias, a weight per term and a vector of ``FACTORS``
-numbers per term; the product of two terms' vectors is the weight of the pair, so a
-combination can count more or less than its parts. It is fitted on a bounded sample
-of labelled rows outside the held-out fold (``ROWS_PER_CLASS`` of each class); its
-terms are those whose share of documents differs between the classes by ``MIN_Z``
-standard errors, the ``MAX_TERMS`` clearest at most, which bounds the model. The bias
-is then moved to the class frequencies of all labelled rows, since the sample holds
+their beginnings), each a 32-bit CRC. The machine has a bias, a weight per term and a
+vector of ``FACTORS`` numbers per term; the product of two terms' vectors is the weight
+of the pair, so a combination can count more or less than its parts. It is fitted on a
+bounded sample of labelled rows outside the held-out fold (``ROWS_PER_CLASS`` of each
+class, ``SAMPLE_BYTES`` of text).
+
+Which terms enter is decided twice. Single terms enter whose share of documents differs
+between the classes by ``MIN_Z`` standard errors. Pairs are screened as well: among the
+``PAIR_TERMS`` most frequent terms, both terms of a pair enter if the pair's share of
+documents departs from the product of its terms' shares differently in the two classes,
+by ``MIN_PAIR_Z`` standard errors; so an insult and a group mention that are as common
+in clean documents, but not together, are learnt. ``MAX_TERMS`` bounds the model. The
+bias is then moved to the class frequencies of all labelled rows, since the sample holds
 both classes in equal parts. Scoring reads every term of every whole text.
 
-Defined cases: null, empty and blank texts have no terms and get the bias alone;
-repeated rows get the same score; without labelled rows of both classes the score is
-the smoothed share of toxic labels; an empty table gives an empty result; input
-columns named like an output column are replaced, others pass through.
+Defined cases: null, empty and blank texts have no terms and get the bias alone; a very
+long text is read whole, as the set of its terms; of equally clear terms the smaller hash
+enters first; repeated rows get the same score; without labelled rows of both classes
+the score is the smoothed share of toxic labels; an empty table gives an empty result;
+input columns named like an output column are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -32,7 +39,9 @@ from wareweave.llm.common import shield, table, unshield, whole_text
 from wareweave.llm.sampling import held_out, labelled_sample
 
 ROWS_PER_CLASS = 6000
+SAMPLE_BYTES = 64 << 20
 MAX_TERMS, MIN_Z, MIN_DOCS = 2048, 6.0, 10
+PAIR_TERMS, MIN_PAIR_Z = 1024, 12.0
 FACTORS, STEPS, RATE, DECAY = 8, 300, 0.05, 1e-4
 THRESHOLD = 0.5
 #: Bytes of the beginnings of words that are terms of their own.
@@ -70,6 +79,30 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def _columns(owner: np.ndarray, place: np.ndarray, chosen: np.ndarray, rows: int, terms: int) -> np.ndarray:
+    """0/1 matrix of rows by chosen terms."""
+    column = np.full(terms, -1)
+    column[chosen] = np.arange(len(chosen))
+    x = np.zeros((rows, len(chosen)), np.float32)
+    there = column[place] >= 0
+    x[owner[there], column[place][there]] = 1
+    return x
+
+
+def _paired(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each column, how clearly its clearest pair interacts differently in the classes."""
+    excess, variance = 0.0, 0.0
+    for c, sign in ((1, 1.0), (0, -1.0)):
+        mine = x[label == c]
+        p = mine.mean(0, dtype=np.float64).astype(np.float32)
+        together = np.outer(p, p)
+        excess = excess + sign * (mine.T @ mine / np.float32(len(mine)) - together)
+        variance = variance + together * (1 - together) / np.float32(len(mine))
+    z = np.abs(excess) / np.sqrt(np.maximum(variance, 1e-9))
+    np.fill_diagonal(z, 0)
+    return z.max(1, initial=0)
+
+
 def fit(rows: list[np.ndarray], label: np.ndarray, population: dict[int, int]) -> Machine:
     """Fit by Adam on the log loss; rows hold the term hashes of each text."""
     prior = float(np.log((population[1] + 0.5) / (population[0] + 0.5)))
@@ -85,12 +118,14 @@ def fit(rows: list[np.ndarray], label: np.ndarray, population: dict[int, int]) -
     p = with_any / (n1 + n0)
     z = (with1 / n1 - (with_any - with1) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     clear = np.flatnonzero((np.abs(z) >= MIN_Z) & (with_any >= MIN_DOCS))
-    clear = np.sort(clear[np.argsort(-np.abs(z[clear]), kind="stable")][:MAX_TERMS])
-    column = np.full(len(known), -1)
-    column[clear] = np.arange(len(clear))
-    x = np.zeros((len(rows), len(clear)), np.float32)
-    there = column[place] >= 0
-    x[owner[there], column[place][there]] = 1
+    clear = clear[np.argsort(-np.abs(z[clear]), kind="stable")][:MAX_TERMS]
+    common = np.flatnonzero((with_any >= MIN_DOCS) & (p < 0.95))
+    common = common[np.argsort(-with_any[common], kind="stable")][:PAIR_TERMS]
+    pair = _paired(_columns(owner, place, common, len(rows), len(known)), label)
+    joint = common[np.argsort(-pair, kind="stable")][: int((pair >= MIN_PAIR_Z).sum())]
+    joint = joint[~np.isin(joint, clear)]
+    clear = np.sort(np.r_[clear, joint][:MAX_TERMS])
+    x = _columns(owner, place, clear, len(rows), len(known))
     y = label.astype(np.float32)
     rng = np.random.default_rng(7)
     params = [np.zeros(1, np.float32), np.zeros(len(clear), np.float32), rng.normal(0, 0.05, (len(clear), FACTORS)).astype(np.float32)]
@@ -100,7 +135,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, population: dict[int, int]) -
         bias, w, v = params
         s = x @ v
         logit = bias + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
-        g = (1 / (1 + np.exp(-logit)) - y) * balance
+        g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * balance
         back = x.T @ g
         grads = [g.sum(keepdims=True), back + DECAY * w, x.T @ (g[:, None] * s) - back[:, None] * v + DECAY * v]
         for q, d, (m, u) in zip(params, grads, moments, strict=True):
@@ -113,7 +148,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, population: dict[int, int]) -
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> Machine:
     """Fit on the bounded sample; only its term hashes come to the driver."""
-    sample, population = labelled_sample(docs, labels, label, rows_per_class)
+    sample, population = labelled_sample(docs, labels, label, rows_per_class, SAMPLE_BYTES)
     added = T.StructType([T.StructField("terms", T.BinaryType())])  # packed: four bytes a term
     packed = lambda texts: [pa.array([np.array(terms(t), np.uint32).tobytes() for t in texts], pa.binary())]
     found = add_columns(sample, "text", added, packed).select("terms", "label").toArrow()
