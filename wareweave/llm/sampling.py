@@ -16,7 +16,7 @@ def held_out() -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, total_bytes: int
+    docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, total_bytes: int = 64 << 20
 ) -> tuple[DataFrame, dict[int, int]]:
     """(text, label) of labelled rows of both classes outside the held-out fold, and the
     number of labelled rows of each class there.
