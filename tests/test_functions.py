@@ -185,5 +185,5 @@ def test_nearest_vectors_of_any_label(spark, rows):
     df = spark.createDataFrame(data, "vec_id int, embedding array<double>, label int")
     unit = values / np.linalg.norm(values, axis=1, keepdims=True)
     want = {(q, int(v), r) for q in range(0, 60, 10) for r, v in enumerate([v for v in np.argsort(-(unit @ unit[q])) if v != q][:3], 1)}
-    found = joins.cosine_topk(df, df.filter("vec_id % 10 = 0"), None, 3, rows).collect()
+    found = joins.cosine_topk(df, df.filter("vec_id % 10 = 0"), 3, rows).collect()
     assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found} == want

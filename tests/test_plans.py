@@ -6,7 +6,7 @@ from wareweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
 #: The only queries whose scores no built-in function can express.
-PYTHON = {"edit_ratio", "text_score"}
+PYTHON = {"edit_ratio", "text_score", "match_path", "matched_second_stage"}
 
 
 def plan(df):

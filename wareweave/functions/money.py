@@ -21,10 +21,15 @@ def to_numeric(c: Column) -> Column:
 
 
 def clean_price(c: Column, low: float, high: float, clamp: bool = True) -> Column:
-    """Digits and point of the text as a price within [low, high]; 0 for none."""
-    value = F.coalesce(F.regexp_replace(c, r"[^\d.]", "").try_cast("double"), F.lit(0.0))
+    """Digits and point of the text as a price within [low, high].
+
+    Null and digits that are no number (1.2.3) give 0; a text without digits counts as 0
+    and goes to the nearer bound like any number outside, or to 0 without clamp.
+    """
+    digits = F.regexp_replace(c, r"[^\d.]", "")
+    value = F.when(digits == "", 0.0).otherwise(digits.try_cast("double"))
     outside = F.least(F.greatest(value, F.lit(low)), F.lit(high)) if clamp else F.lit(0.0)
-    return F.when(value.between(low, high), value).otherwise(F.when(c.isNull(), 0.0).otherwise(outside))
+    return F.when(value.isNull(), 0.0).when(value.between(low, high), value).otherwise(outside)
 
 
 def first_number(c: Column) -> Column:
@@ -65,6 +70,7 @@ def price_similarity(source: Column, candidate: Column, least: float = 0.15, wei
 
 
 def prices_compatible(a: Column, b: Column, low: float, high: float, most: float = 0.3) -> Column:
-    """Both in range, and either not positive or at most ``most`` apart."""
-    near = (a <= 0) | (b <= 0) | (F.abs(a - b) / F.greatest(a, b) <= most)
+    """Both in range, and either not positive or at most ``most`` apart; null counts as 0."""
+    a, b = F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0))
+    near = (a <= 0) | (b <= 0) | (F.try_divide(F.abs(a - b), F.greatest(a, b)) <= most)
     return a.between(low, high) & b.between(low, high) & near

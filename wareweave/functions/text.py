@@ -159,16 +159,13 @@ def extract_specs(c: Column) -> Column:
 
 
 def number_context(c: Column, width: int = 10) -> Column:
-    """Every number with up to ``width`` characters before and after it."""
-    pieces = F.split(c, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
-    ends = F.transform(pieces, lambda p, i: F.length(F.array_join(F.slice(pieces, 1, i + 1), "")))
-    spans = F.zip_with(pieces, ends, lambda p, e: F.struct(p.alias("piece"), e.alias("end")))
-    numbers = F.filter(spans, lambda s: s["piece"].rlike(r"^\d+$"))
-    return F.transform(
-        numbers,
-        lambda s: F.substring(
-            c,
-            F.greatest(s["end"] - F.length(s["piece"]) - width + 1, F.lit(1)),
-            s["end"] + width - F.greatest(s["end"] - F.length(s["piece"]) - width, F.lit(0)),
-        ),
-    )
+    """Every number with up to ``width`` characters before and after it.
+
+    What stands before a number is what stands after it in the reversed text, so both
+    sides come from one pass each.
+    """
+    after = F.lit(rf"(?s)(\d+)(?=(.{{0,{width}}}))")
+    back = F.reverse(c)
+    before = F.reverse(F.transform(F.regexp_extract_all(back, after, 2), lambda part: F.reverse(part)))
+    following = F.zip_with(F.regexp_extract_all(c, after, 1), F.regexp_extract_all(c, after, 2), lambda n, rest: F.concat(n, rest))
+    return F.zip_with(before, following, lambda front, rest: F.concat(front, rest))

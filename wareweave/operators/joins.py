@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wareweave.functions.money import prices_compatible
-from wareweave.functions.scores import dot, sign_hash
+from wareweave.functions.scores import adaptive_weights, dot, sign_hash, spec_similarity, text_score, tfidf_cosine, token_jaccard
+from wareweave.functions.text import normalize_name
 
 # Groups of categories that go together; a group's own name is no member.
 CATEGORY_GROUPS = {
@@ -27,7 +29,8 @@ def price_band_join(left: DataFrame, right: DataFrame, price: str, other: str, o
     """Rows whose prices are compatible, as an equi-join on buckets of the log price.
 
     Two prices at most ``most`` apart lie in the same or neighbouring buckets; prices
-    that are not positive pass with any and get a bucket that the other side joins too.
+    that are missing or not positive pass with any and get a bucket that the other side
+    joins too.
     """
     step = -math.log(1 - most) * 1.01  # a little wider, for the edges of floating point
     bucket = lambda c: F.when(F.col(c) > 0, F.floor(F.log(F.col(c)) / step).cast("long"))
@@ -36,7 +39,7 @@ def price_band_join(left: DataFrame, right: DataFrame, price: str, other: str, o
     a = left.withColumn("__ww_b", F.explode(F.transform(mine, lambda b: F.coalesce(b, F.lit(free)))))
     b = right.withColumn("__ww_b", F.coalesce(bucket(other), F.lit(free)))
     positive = a.join(b, [*on, "__ww_b"]).drop("__ww_b")
-    unpriced = left.filter(F.col(price) <= 0).join(right.filter(F.col(other) > 0), on)
+    unpriced = left.filter(F.coalesce(price, F.lit(0.0)) <= 0).join(right.filter(F.col(other) > 0), on)
     fits = prices_compatible(F.col(price), F.col(other), low, high, most)
     return positive.unionByName(unpriced).filter(fits)
 
@@ -59,11 +62,14 @@ def category_pairs(pairs: DataFrame, a: str, b: str, groups: dict[str, tuple[str
     return joined.filter(fits).drop("__ma", "__mb", "__ga", "__gb")
 
 
-def jaccard_join(names: DataFrame, name: str, least: float) -> DataFrame:
+def jaccard_join(names: DataFrame, name: str, least: float, most: int | None = None) -> DataFrame:
     """(a, b, similarity), a < b: distinct names whose token sets overlap enough.
 
     Prefix filter: with tokens in order of rarity, two sets of the wanted overlap share
-    one of their first n - ceil(least * n) + 1 tokens, so only rare tokens are joined on.
+    one of their first n - ceil(least * n) + 1 tokens, so only rare tokens are joined on,
+    and only names whose sizes allow the overlap. The join carries names and sizes; the
+    token sets are fetched once for each pair that is left. With ``most``, only each a's
+    best pairs, by similarity.
     """
     one = names.select(F.col(name).alias("text")).dropna().distinct()
     sets = one.withColumn("tokens", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")))
@@ -76,50 +82,67 @@ def jaccard_join(names: DataFrame, name: str, least: float) -> DataFrame:
     )
     size = F.size("tokens")
     prefix = F.slice("tokens", 1, (size - F.ceil(size * least) + 1).cast("int"))
-    keys = ranked.withColumn("token", F.explode(prefix))
-    a = keys.select("token", F.col("text").alias("a"), F.col("tokens").alias("ta"))
-    b = keys.select("token", F.col("text").alias("b"), F.col("tokens").alias("tb"))
+    keys = ranked.select("text", size.alias("n"), F.explode(prefix).alias("token"))
+    a = keys.select("token", F.col("text").alias("a"), F.col("n").alias("na"))
+    b = keys.select("token", F.col("text").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, "token").filter("a < b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * least)
+    pairs = met.select("a", "b").distinct()
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("text").alias(side), F.col("tokens").alias(f"t{side}")), side)
     similarity = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    pairs = a.join(b, "token").filter("a < b").select("a", "b", similarity.alias("similarity"))
-    return pairs.filter(F.col("similarity") >= least).distinct()
+    found = pairs.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+    if most is None:
+        return found
+    order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, block: str | None, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest vectors of each query: query_id, vec_id, cosine, rank.
+def cosine_pairs(vectors: DataFrame, queries: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, vec_id, cosine) of every query with every other vector.
 
-    With a ``block`` column only vectors of the query's block are compared, without one
-    all are: queries and vectors are dealt into blocks of about ``rows`` rows, and every
-    block of queries meets every block of vectors. Each part keeps its own k best of a
-    query before they are merged.
+    Queries and vectors are dealt into blocks of about ``rows`` rows, and every block of
+    queries meets every block of vectors, so no task holds more than two blocks.
     """
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    q = queries.select(*[block] * (block is not None), F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), norm("embedding").alias("qn"))
-    v = vectors.withColumn("vn", norm("embedding"))
-    if block is not None:
-        on = [block]
-    else:
-        on, mine, theirs = ["__ww_q", "__ww_v"], -(-queries.count() // rows) or 1, -(-vectors.count() // rows) or 1
-        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
-        q = q.withColumn("__ww_q", deal("query_id", mine)).withColumn("__ww_v", every(theirs))
-        v = v.withColumn("__ww_v", deal("vec_id", theirs)).withColumn("__ww_q", every(mine))
-    pairs = q.join(v, on).filter("query_id <> vec_id")
-    scored = pairs.select("query_id", "vec_id", (dot(F.col("qv"), F.col("embedding")) / (F.col("qn") * F.col("vn"))).alias("cosine"))
+    mine, theirs = -(-queries.count() // rows) or 1, -(-vectors.count() // rows) or 1
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), norm("embedding").alias("qn"))
+    q = q.withColumn("__ww_q", deal("query_id", mine)).withColumn("__ww_v", every(theirs))
+    v = vectors.select("vec_id", "embedding", norm("embedding").alias("vn"))
+    v = v.withColumn("__ww_v", deal("vec_id", theirs)).withColumn("__ww_q", every(mine))
+    pairs = q.join(v, ["__ww_q", "__ww_v"]).filter("query_id <> vec_id")
+    cosine = F.try_divide(dot(F.col("qv"), F.col("embedding")), F.col("qn") * F.col("vn"))
+    return pairs.select("query_id", "vec_id", cosine.alias("cosine"))
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k nearest of all other vectors for each query: query_id, vec_id, cosine, rank.
+
+    Each part keeps its own k best of a query before they are merged.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return cosine_pairs(vectors, queries, rows).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def hash_near(vectors: DataFrame, differing: int = 4) -> DataFrame:
+def hash_near(vectors: DataFrame, differing: int = 4, whole: int = 3) -> DataFrame:
     """(a, b, similarity): vectors whose 64-bit sign hashes differ in at most so many bits.
 
-    The hash is cut into one band more than bits may differ, so a pair agrees on a band;
-    distinct hashes are joined and vectors of one hash are given as (hash's first, other).
+    The hash is cut into ``whole`` bands more than bits may differ. A pair agrees on at
+    least so many of them, so each choice of ``whole`` bands is a key (27 bits by
+    default): a key holds few of even very many hashes. Distinct hashes are joined, and
+    vectors of one hash are given as (hash's first, other).
     """
     hashed = vectors.select("vec_id", sign_hash(F.col("embedding")).alias("h"))
     first = hashed.groupBy("h").agg(F.min("vec_id").alias("rep"))
-    bands, width = differing + 1, 64 // (differing + 1)
-    cut = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for i in range(bands - 1)]
-    cut.append(F.struct(F.lit(bands - 1).alias("band"), F.shiftrightunsigned("h", (bands - 1) * width).alias("bits")))
+    bands = differing + whole
+    edges = [64 * i // bands for i in range(bands + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    cut = [
+        F.struct(F.lit(i).alias("band"), F.col("h").bitwiseAND(F.lit(signed(sum(chosen)))).alias("bits"))
+        for i, chosen in enumerate(combinations(masks, whole))
+    ]
     keys = first.select("h", "rep", F.inline(F.array(*cut)))
     a, b = (keys.select("band", "bits", F.col("h").alias(f"h{s}"), F.col("rep").alias(s)) for s in "ab")
     apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
@@ -130,19 +153,30 @@ def hash_near(vectors: DataFrame, differing: int = 4) -> DataFrame:
 
 
 def first_stage(catalog: DataFrame, offers: DataFrame) -> DataFrame:
-    """Every product with the best price and quantity of each channel side by side.
+    """Every product with the cheapest offer of each channel side by side.
 
-    Both channels come from one scan and one aggregation by product.
+    Price, quantity and seller of a channel come from one offer: the cheapest, then the
+    one of the smallest quantity, then of the smallest id. Both channels come from one
+    scan and one aggregation by product. A price of 0 or none has no percentage.
     """
-    of = lambda n, c: F.min(F.when(F.col("channel") == f"c{n}", F.col(c)))
-    best = offers.groupBy("product_id").agg(
-        *[of(n, c).cast("double").alias(f"{c}_{n}") for n in ("2", "3") for c in ("price", "qty")]
+    offer = F.struct("price", "qty", "offer_id", "seller")
+    best = offers.filter(F.col("price").isNotNull()).groupBy("product_id").agg(
+        *[F.min(F.when(F.col("channel") == f"c{n}", offer)).alias(f"best_{n}") for n in ("2", "3")]
     )
     out = catalog.select("product_id", "name", "price").join(best, "product_id", "left")
     for n in ("2", "3"):
-        diff = F.col(f"price_{n}") - F.col("price")
-        out = out.withColumn(f"diff_{n}", diff).withColumn(f"pct_{n}", diff / F.col("price") * 100)
-    return out
+        price = F.col(f"best_{n}.price")
+        diff = price - F.col("price")
+        out = out.withColumns(
+            {
+                f"price_{n}": price,
+                f"diff_{n}": diff,
+                f"pct_{n}": F.try_divide(diff, F.col("price")) * 100,
+                f"qty_{n}": F.col(f"best_{n}.qty").cast("double"),
+                f"seller_{n}": F.col(f"best_{n}.seller"),
+            }
+        )
+    return out.drop("best_2", "best_3")
 
 
 def with_placeholders(products: DataFrame, matches: DataFrame, channel: str) -> DataFrame:
@@ -171,7 +205,41 @@ def topk(pairs: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def cheapest(pairs: DataFrame, most: int, keep: Column) -> DataFrame:
-    """Candidates in order of price: the filter applies, then the cut."""
+def cheapest(pairs: DataFrame, most: int, keep: Column, page: int = 100, pages: int = 3) -> DataFrame:
+    """Candidates in order of price: the first pages, the filter on each page, then the cut."""
     order = Window.partitionBy("product_id").orderBy("offer_price", "offer_id", "seller")
-    return pairs.filter(keep).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    seen = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= page * pages)
+    kept = seen.filter(keep).withColumn("rank", F.row_number().over(order))
+    return kept.filter(F.col("rank") <= most)
+
+
+def match_path(products: DataFrame, candidates: DataFrame, edit, k: int = 5, least: float = 0.3, sure: float = 0.75) -> DataFrame:
+    """The best candidate of each product and channel, from names to the choice.
+
+    products: product_id, name, price. candidates: product_id, offer_id, channel, seller,
+    title, offer_price, image_sim (null without images). Pairs pass the price band, are
+    scored by their names, once for each distinct pair of them, weighed with the images'
+    score, cut to the k best and reduced to the cheapest sure one, else the best. ``edit``
+    makes the edit ratio's column of two name columns.
+    """
+    paired = price_band_join(
+        products.select("product_id", "name", "price"), candidates, "price", "offer_price", ["product_id"], 0.0, 1e10
+    )
+    names = paired.select("name", "title").distinct()
+    names = names.withColumn("na", normalize_name(F.col("name"))).withColumn("nb", normalize_name(F.col("title")))
+    scored = names.select(
+        "name",
+        "title",
+        text_score(
+            edit("na", "nb"),
+            tfidf_cosine(F.col("na"), F.col("nb")),
+            token_jaccard(F.col("name"), F.col("title")),
+            spec_similarity(F.col("name"), F.col("title")),
+        ).alias("text_sim"),
+    )
+    image = F.coalesce("image_sim", F.lit(0.0))
+    weights = adaptive_weights(F.col("text_sim"), image, F.col("image_sim").isNotNull())
+    combined = F.col("text_sim") * weights["w_text"] + image * weights["w_image"]
+    ready = paired.join(scored, ["name", "title"]).withColumn("combined", F.round(combined, 9))
+    best = [best_match(ready.filter(F.col("channel") == c), k, least, sure) for c in ("c2", "c3")]
+    return best[0].unionByName(best[1])

@@ -6,27 +6,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, seq: str, width: int = 1_000_000, name: str = "i") -> DataFrame:
+def numbered(df: DataFrame, seq: str, blocks: int = 256, name: str = "i") -> DataFrame:
     """Add the position, from 1, in the order of the numeric column seq.
 
-    Rows are numbered inside blocks of ``width`` consecutive values of seq; a block's start
-    is the count of the blocks before it, of which there is one row per block.
+    Rows are numbered inside ranges of seq that hold about equally many rows, whatever
+    its values are: the ranges' bounds are quantiles, at most ``blocks`` numbers. A range's
+    start is the count of the ranges before it, of which there is one row each.
     """
-    blocks = df.withColumn("__ww_block", F.floor(F.col(seq) / width))
+    shares = [i / blocks for i in range(1, blocks)]
+    bounds = df.agg(F.percentile_approx(seq, shares).alias("b")).first()["b"] or []
+    above = F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(seq)) if bounds else F.array()
+    parts = df.withColumn("__ww_block", F.when(F.col(seq).isNull(), -1).otherwise(F.size(above)))
     before = Window.orderBy("__ww_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.groupBy("__ww_block").agg(F.count(F.lit(1)).alias("n"))
+    starts = parts.groupBy("__ww_block").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("__ww_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ww_start"))
     inside = F.row_number().over(Window.partitionBy("__ww_block").orderBy(seq))
     return (
-        blocks.withColumn("__ww_i", inside)
-        .join(starts, "__ww_block")
+        parts.withColumn("__ww_i", inside)
+        .join(F.broadcast(starts), "__ww_block")  # one row a block
         .withColumn(name, F.col("__ww_start") + F.col("__ww_i"))
         .drop("__ww_block", "__ww_start", "__ww_i")
     )
 
 
-def split_parts(df: DataFrame, seq: str, rows: int = 300) -> DataFrame:
-    """Add part, from 1, of at most ``rows`` rows each in order, and the part's size."""
+#: What a part is called, by the first row's division.
+PART_NAMES = {"P": "가격관리"}
+OTHER_PART = "승인관리"
+
+
+def split_parts(df: DataFrame, seq: str, rows: int = 300, division: str | None = None) -> DataFrame:
+    """Add part, from 1, of at most ``rows`` rows each in order, and the part's size.
+
+    With a division column also label: the name for the first row's division, the part's
+    number, and its size in parentheses.
+    """
     parts = numbered(df, seq).withColumn("part", F.ceil(F.col("i") / rows).cast("long"))
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("part_size"))
-    return parts.join(sizes, "part").drop("i")
+    out = parts.join(sizes, "part").drop("i")
+    if division is None:
+        return out
+    first = df.agg(F.min_by(division, seq).alias("d")).first()["d"]
+    name = PART_NAMES.get((first or "").upper(), OTHER_PART)
+    return out.withColumn("label", F.concat(F.lit(name), F.col("part").cast("string"), F.lit("("), F.col("part_size").cast("string"), F.lit(")")))

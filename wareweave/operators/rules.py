@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Columns of each channel's group.
-GROUPS = {"2": ("price_2", "diff_2", "pct_2", "qty_2"), "3": ("price_3", "diff_3", "pct_3", "qty_3")}
+#: Columns of each channel's group, as far as a table has them.
+GROUPS = {n: tuple(f"{c}_{n}" for c in ("price", "diff", "pct", "qty", "seller")) for n in ("2", "3")}
 
 
 def true(c: Column) -> Column:
@@ -31,7 +34,7 @@ def valid_3() -> Column:
 
 def null_unless(df: DataFrame, keep: dict[str, Column]) -> DataFrame:
     """Null every column of a channel's group where the channel does not count."""
-    return df.withColumns({c: F.when(keep[g], F.col(c)) for g, cols in GROUPS.items() for c in cols})
+    return df.withColumns({c: F.when(keep[g], F.col(c)) for g, cols in GROUPS.items() for c in cols if c in df.columns})
 
 
 def second_stage(df: DataFrame) -> DataFrame:
@@ -49,17 +52,26 @@ def second_stage_strict(df: DataFrame) -> DataFrame:
 
 
 def second_stage_cells(df: DataFrame, promo: Column) -> DataFrame:
-    """Cell form: null a channel that is not cheaper enough, then drop rows left empty."""
+    """Cell form: null a channel that is not cheaper enough, then drop rows left empty.
+
+    promo tells sellers of promotional goods, whom channel 3 keeps without a quantity. A
+    quantity of channel 2 that is no number becomes null; a row is empty if no column of
+    either channel is left, the seller's among them.
+    """
+    df = df.withColumn("qty_2", F.col("qty_2").cast("string").try_cast("double"))
     out_2 = true(F.col("diff_2") >= 0) | true(F.col("pct_2") > -1)
     out_3 = true(F.col("diff_3") >= 0) | true(F.col("pct_3") > -1)
     out_3 = out_3 | (F.col("qty_3").isNull() & true(F.col("pct_3") > -10) & ~true(promo))
-    return null_unless(df, {"2": ~out_2, "3": ~out_3}).filter(F.coalesce("price_2", "price_3").isNotNull())
+    cells = [F.col(c).isNotNull() for cols in GROUPS.values() for c in cols if c in df.columns]
+    return null_unless(df, {"2": ~out_2, "3": ~out_3}).filter(reduce(or_, cells))
 
 
 def reference_price(df: DataFrame, price: str, candidate: str) -> DataFrame:
-    """Candidates that are cheaper or at least 10 % dearer than the reference."""
-    pct = (F.col(candidate) - F.col(price)) / F.col(price) * 100
-    return df.filter((F.col(candidate) > 0) & ((pct < 0) | (pct >= 10)))
+    """Priced candidates that are cheaper or at least 10 % dearer than the reference; all of
+    them where there is no reference price above 0."""
+    none = F.coalesce(F.col(price), F.lit(0.0)) <= 0
+    pct = F.try_divide(F.col(candidate) - F.col(price), F.col(price)) * 100
+    return df.filter((F.col(candidate) > 0) & (none | (pct < 0) | (pct >= 10)))
 
 
 # Status texts.

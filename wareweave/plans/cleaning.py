@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wareweave.functions import money, scores, text, urls
 from wareweave.plans.views import oracle, view
+from wareweave.sources.sheets import strip_at
 
 QUERIES: dict = {}
 
@@ -44,7 +45,7 @@ _project("clean_name_match", _SPACES.format(r"regexp_replace(regexp_replace(rege
 _project("clean_code", "CASE WHEN raw_code IS NULL OR raw_code = '' THEN '' ELSE coalesce(nullif(regexp_replace(trim(raw_code), '[^A-Za-z0-9-]', '', 'g'), ''), 'CODE-' || md5(raw_code || CAST(product_id AS STRING))) END AS code",
          ("code", lambda: text.clean_code(_col("raw_code"), F.concat(F.lit("CODE-"), F.md5(F.concat("raw_code", F.col("product_id").cast("string")).cast("binary"))))))
 _project("coalesce_code", "coalesce(nullif(trim(raw_code), ''), nullif(trim(brand), ''), '') AS code", ("code", lambda: text.first_filled(_col("raw_code"), _col("brand"))))
-_project("clean_price", r"""CASE WHEN raw_price IS NULL THEN 0.0 ELSE least(greatest(coalesce(try_cast(regexp_replace(raw_price, '[^\d.]', '', 'g') AS DOUBLE), 0.0), 100.0), 10000.0) END AS clean""",
+_project("clean_price", r"""CASE WHEN raw_price IS NULL OR (digits <> '' AND try_cast(digits AS DOUBLE) IS NULL) THEN 0.0 ELSE least(greatest(coalesce(try_cast(digits AS DOUBLE), 0.0), 100.0), 10000.0) END AS clean""".replace("digits", r"regexp_replace(raw_price, '[^\d.]', '', 'g')"),
          ("clean", lambda: money.clean_price(_col("raw_price"), 100.0, 10000.0)))
 _project("to_numeric", f"CASE WHEN raw_price NOT IN {_IN(money.NOT_NUMBERS)} THEN try_cast(replace(raw_price, ',', '') AS DOUBLE) END AS value", ("value", lambda: money.to_numeric(_col("raw_price"))))
 _project("extract_price_qty", r"""try_cast(replace(regexp_extract(raw_price, '([\d,]*\d[\d,]*)', 1), ',', '') AS DOUBLE) AS price_found,
@@ -54,15 +55,17 @@ _project("clean_url", "CASE WHEN raw_url IS NULL OR trim(raw_url) IN ('', 'nan')
          ("url", lambda: urls.clean_url(_col("raw_url"))))
 _UNWRAP = "CASE WHEN raw_url LIKE '=IMAGE(%' THEN regexp_extract(raw_url, '^=IMAGE\\(\"([^\"]*)\"', 1) ELSE raw_url END"
 _IMAGE = f"trim(translate({_UNWRAP}, '\"''', ''))"
-_CLEAN_IMAGE = f"CASE WHEN {_IMAGE} IS NULL OR {_IMAGE} = '' OR lower({_IMAGE}) IN {_IN(urls.NO_IMAGE)} THEN '' WHEN regexp_matches({_IMAGE}, '^https?://') THEN {_IMAGE} WHEN starts_with({_IMAGE}, '//') THEN 'https:' || {_IMAGE} ELSE 'https://' || {_IMAGE} END"
+_CLEAN_IMAGE = f"CASE WHEN {_IMAGE} IS NULL OR {_IMAGE} = '' OR lower({_IMAGE}) IN {_IN(urls.NO_IMAGE)} THEN '' WHEN regexp_matches({_IMAGE}, '(?i)^https?://') THEN {_IMAGE} WHEN starts_with({_IMAGE}, '//') THEN 'https:' || {_IMAGE} ELSE 'https://' || {_IMAGE} END"
 _END = urls.IMAGE_END
 _project("clean_image_url", f"{_CLEAN_IMAGE} AS url, regexp_matches({_CLEAN_IMAGE}, '{_END}') OR regexp_matches({_CLEAN_IMAGE}, '{urls.IMAGE_PARTS}') AS likely_image",
          ("url", lambda: urls.clean_image_url(_col("raw_url"))), ("likely_image", lambda: urls.likely_image(urls.clean_image_url(_col("raw_url")))))
-_project("normalize_url", r"""replace(replace(translate(CASE WHEN starts_with(t, 'http:') THEN 'https:' || substr(t, 6) WHEN starts_with(t, '//') THEN 'https:' || t
-  WHEN NOT regexp_matches(t, '^[a-z]+:') AND contains(t, '.') THEN 'https://' || t ELSE t END, chr(92), '/'), '"', '%22'), ' ', '%20') AS url""".replace("(t,", "(translate(trim(raw_url), '@', ''),").replace("|| t", "|| translate(trim(raw_url), '@', '')").replace("ELSE t ", "ELSE translate(trim(raw_url), '@', '') "),
-         ("url", lambda: urls.normalize_url(_col("raw_url"))))
-_project("strip_at", "replace(raw_url, '@', '') AS raw_url, replace(raw_name, '@', '') AS raw_name",
-         ("raw_url", lambda: F.translate("raw_url", "@", "")), ("raw_name", lambda: F.translate("raw_name", "@", "")))
+_T = "translate(trim(raw_url), '@', '')"
+_SCHEMED = f"CASE WHEN starts_with({_T}, 'http:') THEN 'https:' || substr({_T}, 6) WHEN starts_with({_T}, '//') THEN 'https:' || {_T} WHEN NOT regexp_matches({_T}, '^[a-z]+:') AND contains({_T}, '.') THEN 'https://' || {_T} ELSE {_T} END"
+_project("normalize_url", f"""replace(replace(translate({_SCHEMED}, chr(92), '/'), '"', '%22'), ' ', '%20') AS url""", ("url", lambda: urls.normalize_url(_col("raw_url"))))
+QUERIES["strip_at"] = (
+    lambda spark, sf_dir: strip_at(view(spark, sf_dir, "messy").select("product_id", "raw_url", "raw_name", "price", "brand")),
+    oracle("messy", "SELECT product_id, replace(raw_url, '@', '') AS raw_url, replace(raw_name, '@', '') AS raw_name, price, replace(brand, '@', '') AS brand FROM messy"),
+)
 _project("image_formula", f"""CASE WHEN coalesce(trim({_UNWRAP}), '') = '' THEN '' ELSE '=IMAGE("' || {_UNWRAP} || '", 2)' END AS formula, {_UNWRAP} AS plain""",
          ("formula", lambda: urls.image_formula(urls.unwrap_image(_col("raw_url")))), ("plain", lambda: urls.unwrap_image(_col("raw_url"))))
 _project("normalize_types", "coalesce(raw_code, '') AS raw_code, coalesce(try_cast(raw_price AS DOUBLE), 0.0) AS price, CASE WHEN division IN ('A', 'P') THEN division ELSE 'A' END AS division",
@@ -72,10 +75,11 @@ _project("derive_status", "CASE WHEN trim(raw_name) = '' THEN 'Not Found' WHEN t
          ("status", lambda: text.derive_status(_col("raw_name"), _col("raw_price").try_cast("double"), _col("raw_url"))))
 _project("promo_flag", f"{_ANY('lower(title)', text.PROMO_WORDS)} OR {_ANY('lower(brand)', text.PROMO_WORDS)} OR {_ANY('lower(category)', text.PROMO_CATEGORIES)} AS promo",
          ("promo", lambda: text.promo_flag(_col("title"), _col("brand"), _col("category"))))
-_project("url_param_id", r"coalesce(nullif(regexp_extract(raw_url, '[?&]no=([^&#]*)', 1), ''), md5(raw_url)) AS id", ("id", lambda: urls.url_id(_col("raw_url"), "no")))
+_project("url_param_id", r"coalesce(nullif(regexp_extract(raw_url, '[?&]no=(\d+)', 1), ''), md5(raw_url)) AS id", ("id", lambda: urls.url_id(_col("raw_url"), "no")))
 _project("stock_status", "CASE WHEN contains(raw_stock, '품절') OR contains(lower(raw_stock), 'sold out') THEN 'Out of Stock' WHEN contains(lower(raw_stock), 'temporarily out') THEN 'Temporarily Out of Stock' WHEN contains(raw_stock, '재고') AND (contains(raw_stock, '부족') OR contains(raw_stock, '없')) THEN 'Low Stock' ELSE 'In Stock' END AS stock",
          ("stock", lambda: text.stock_status(_col("raw_stock"))))
-_project("image_url_filter", f"regexp_matches(raw_url, '{_END}') AND NOT regexp_matches(raw_url, '{urls.UI_PARTS}') AS shown", ("shown", lambda: urls.shown_image(_col("raw_url"))))
+_project("image_url_filter", f"regexp_matches(raw_url, '{_END}') AND NOT regexp_matches(raw_url, '{urls.UI_PARTS}') AS shown, coalesce(regexp_matches(lower(raw_url), '{'|'.join(p.replace('.', '[.]') for p in urls.SHOP_UI_PARTS)}'), false) AS shop_ui",
+         ("shown", lambda: urls.shown_image(_col("raw_url"))), ("shop_ui", lambda: urls.shop_ui_image(_col("raw_url"))))
 _GALLERY_SQL = "[name || '.png', 'small/' || CAST(product_id AS STRING) || '.jpg', 'https://img.example.com/' || CAST(size AS STRING) || '.jpg']"
 
 
@@ -88,14 +92,18 @@ def _gallery() -> Column:
     )
 
 
-def _repaired() -> Column:
-    host = F.lit("https://img.example.com/")
-    return F.transform(_gallery(), lambda u: F.when(u.rlike("^https?://"), u).otherwise(F.concat(host, u)))
+_HOST = "https://img.example.com"
+_WHOLE_SQL = f"CASE WHEN regexp_matches(u, '^https?://') THEN u WHEN starts_with(u, '//') THEN 'https:' || u WHEN starts_with(u, '/') THEN '{_HOST}' || u ELSE '{_HOST}/' || u END"
+_project("repair_gallery", f"array_to_string(list_transform({_GALLERY_SQL}, lambda u: {_WHOLE_SQL}), ',') AS gallery, CASE WHEN trim(raw_url) IN ('', 'none') THEN '{_HOST}/shop_' || CAST(product_id AS STRING) || '_0.jpg' ELSE (SELECT {_WHOLE_SQL} FROM (SELECT trim(raw_url) AS u)) END AS image",
+         ("gallery", lambda: F.array_join(urls.repair_gallery(_gallery(), _HOST, _col("product_id")), ",")), ("image", lambda: urls.repair_image(_col("raw_url"), _HOST, _col("product_id"), ("none",))))
 
 
-_project("repair_gallery", f"array_to_string(list_transform({_GALLERY_SQL}, lambda u: CASE WHEN regexp_matches(u, '^https?://') THEN u ELSE 'https://img.example.com/' || u END), ',') AS gallery",
-         ("gallery", lambda: F.array_join(_repaired(), ",")))
-_project("pick_image", f"coalesce(list_filter({_GALLERY_SQL}, lambda u: NOT ends_with(lower(u), '.png'))[1], 'missing') AS image", ("image", lambda: urls.pick_image(_gallery(), "missing")))
+def _some_png() -> Column:
+    return F.when(_col("product_id") % 3 == 0, F.array(F.concat("name", F.lit(".PNG")))).otherwise(_gallery())
+
+
+_project("pick_image", f"CASE WHEN product_id % 3 = 0 THEN 'missing' ELSE list_filter({_GALLERY_SQL}, lambda u: NOT ends_with(lower(u), '.png'))[1] END AS image, CASE WHEN product_id % 3 = 0 THEN 'Image Not Found' ELSE 'OK' END AS status",
+         ("image", lambda: urls.pick_image(_some_png(), "missing")), ("status", lambda: urls.pick_status(_some_png())))
 _project("gallery_text", f"array_to_string({_GALLERY_SQL}[1:5], ' | ') AS gallery", ("gallery", lambda: urls.gallery_text(_gallery())))
 _project("vat_gross_up", r"CASE WHEN regexp_matches(title, '(?i)VAT\s*(포함|별도|제외)') THEN price ELSE price * CAST(1.1 AS DOUBLE) END AS gross, CAST(trunc(CASE WHEN regexp_matches(title, '(?i)VAT\s*(포함|별도|제외)') THEN price ELSE price * CAST(1.1 AS DOUBLE) END) AS BIGINT) AS page_price",
          ("gross", lambda: money.vat_gross_up(_col("price"), _col("title"))), ("page_price", lambda: money.vat_gross_up(_col("price"), _col("title")).cast("long")))
@@ -115,12 +123,12 @@ _project("price_similarity", "CASE WHEN greatest(price, offer_price) > 0 AND 1 -
          ("similarity", lambda: money.price_similarity(_col("price"), _col("offer_price"))), source="pairs", key="offer_id")
 _project("price_diff", "product_id, CASE WHEN price > 0 AND offer_price <> 0 THEN offer_price - price ELSE 0.0E0 END AS diff, CASE WHEN price > 0 AND offer_price <> 0 THEN (offer_price - price) / price * 100 ELSE 0.0E0 END AS pct",
          ("product_id", lambda: _col("product_id")), ("diff", lambda: money.price_diff(_col("price"), _col("offer_price"))), ("pct", lambda: money.price_diff_pct(_col("price"), _col("offer_price"))), source="pairs", key="offer_id")
-_project("price_diff_report", "CASE WHEN price > 0 AND price_2 > 0 THEN price_2 - price END AS diff, CASE WHEN price > 0 AND price_2 > 0 THEN (price_2 - price) / price END AS fraction",
+_project("price_diff_report", "CASE WHEN price > 0 AND price_2 > 0 THEN price_2 - price END AS diff, CASE WHEN price > 0 AND price_2 > 0 THEN (price_2 - price) / nullif(price, 0) END AS fraction",
          ("diff", lambda: F.when((_col("price") > 0) & (_col("price_2") > 0), _col("price_2") - _col("price"))),
-         ("fraction", lambda: F.when((_col("price") > 0) & (_col("price_2") > 0), (_col("price_2") - _col("price")) / _col("price"))), source="first_stage")
-_project("cross_channel_diff", "price_2 - price_3 AS c2_less_c3, price_3 - price_2 AS c3_less_c2, (price_2 - price_3) / price_3 * 100 AS pct_of_c3, (price_3 - price_2) / price_2 * 100 AS pct_of_c2",
+         ("fraction", lambda: F.when((_col("price") > 0) & (_col("price_2") > 0), F.try_divide(_col("price_2") - _col("price"), _col("price")))), source="first_stage")
+_project("cross_channel_diff", "price_2 - price_3 AS c2_less_c3, price_3 - price_2 AS c3_less_c2, round((price_2 - price_3) * 100 / nullif(price_3, 0), 2) AS pct_of_c3, round((price_3 - price_2) * 100 / nullif(price_2, 0), 2) AS pct_of_c2",
          ("c2_less_c3", lambda: _col("price_2") - _col("price_3")), ("c3_less_c2", lambda: _col("price_3") - _col("price_2")),
-         ("pct_of_c3", lambda: (_col("price_2") - _col("price_3")) / _col("price_3") * 100), ("pct_of_c2", lambda: (_col("price_3") - _col("price_2")) / _col("price_2") * 100), source="first_stage")
+         ("pct_of_c3", lambda: F.round(F.try_divide((_col("price_2") - _col("price_3")) * 100, _col("price_3")), 2)), ("pct_of_c2", lambda: F.round(F.try_divide((_col("price_3") - _col("price_2")) * 100, _col("price_2")), 2)), source="first_stage")
 _T0 = "CASE WHEN text_sim > 0.9E0 THEN 0.7E0 * 1.2E0 WHEN text_sim < 0.3E0 THEN 0.7E0 * 0.8E0 ELSE 0.7E0 END"
 _I0 = "CASE WHEN text_sim > 0.9E0 THEN 0.3E0 * 0.8E0 WHEN text_sim < 0.3E0 THEN 0.3E0 * 1.2E0 ELSE 0.3E0 END"
 _T1 = f"greatest(CASE WHEN image_sim > 0.9E0 THEN ({_T0}) * 0.8E0 WHEN image_sim < 0.3E0 THEN ({_T0}) * 1.2E0 ELSE {_T0} END, 0.3E0)"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wareweave.functions import scores
+from wareweave.functions.text import normalize_name
 from wareweave.functions.urls import url_id
-from wareweave.operators import joins
+from wareweave.operators import joins, rules
 from wareweave.plans.views import oracle, view
 from wareweave.session import table
 
@@ -41,25 +42,34 @@ _two("pair_candidates", "catalog", "offers", lambda c, o: c.select("product_id",
      "SELECT c.product_id, c.name, o.offer_id, o.supplier_id FROM catalog c JOIN offers o ON o.product_id = c.product_id WHERE o.supplier_id <> c.product_id")
 _two("price_band_join", "catalog", "offers",
      lambda c, o: joins.price_band_join(c.select("product_id", "price"), o.select("product_id", "offer_id", F.col("price").alias("offer_price")), "price", "offer_price", ["product_id"], 0.0, 1e9),
-     "SELECT c.product_id, c.price, o.offer_id, o.price AS offer_price FROM catalog c JOIN offers o ON o.product_id = c.product_id WHERE c.price <= 0 OR o.price <= 0 OR abs(c.price - o.price) / greatest(c.price, o.price) <= 0.3E0")
+     "SELECT c.product_id, c.price, o.offer_id, o.price AS offer_price FROM catalog c JOIN offers o ON o.product_id = c.product_id WHERE coalesce(c.price, 0) <= 0 OR coalesce(o.price, 0) <= 0 OR abs(c.price - o.price) / greatest(c.price, o.price) <= 0.3E0")
 _over("category_compat_join", "messy", lambda df: joins.category_pairs(_neighbours(df), "category", "category_b", _GROUPS).select("product_id", "category", "category_b"),
       f"SELECT product_id, category, category_b FROM ({_NEXT}) WHERE category = category_b OR (lower(category) IN {_GROUPS['basic']} AND lower(category_b) IN {_GROUPS['basic']}) OR (lower(category) IN {_GROUPS['sized']} AND lower(category_b) IN {_GROUPS['sized']})")
-_over("text_sim_join", "messy", lambda df: joins.jaccard_join(df.withColumn("full_name", F.concat_ws(" ", "name", "brand")), "full_name", 0.5),
-      "SELECT a, b, similarity FROM (SELECT x.t AS a, y.t AS b, len(list_intersect(x.w, y.w)) / CAST(len(list_distinct(list_concat(x.w, y.w))) AS DOUBLE) AS similarity FROM (SELECT DISTINCT name || ' ' || brand AS t, string_split(lower(name || ' ' || brand), ' ') AS w FROM messy) x, (SELECT DISTINCT name || ' ' || brand AS t, string_split(lower(name || ' ' || brand), ' ') AS w FROM messy) y WHERE x.t < y.t) WHERE similarity >= 0.5")
-QUERIES["embedding_topk"] = (
-    lambda spark, sf_dir: joins.cosine_topk(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0"), "label", 5)
-    .select("query_id", "vec_id", F.round("cosine", 4).alias("cosine"), "rank"),
-    """SELECT query_id, vec_id, round(cosine, 4) AS cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM (
-    SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(q.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE)))) * sqrt(list_sum(list_transform(v.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE))))) AS cosine
-    FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)) WHERE rank <= 5""",
-)
-QUERIES["embedding_topk_all"] = (
-    lambda spark, sf_dir: joins.cosine_topk(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0"), None, 5)
-    .select("query_id", "vec_id", F.round("cosine", 4).alias("cosine"), "rank"),
-    """SELECT query_id, vec_id, round(cosine, 4) AS cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM (
-    SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(q.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE)))) * sqrt(list_sum(list_transform(v.embedding, lambda p: CAST(p AS DOUBLE) * CAST(p AS DOUBLE))))) AS cosine
-    FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 5""",
-)
+_NAMES = "SELECT a, b, similarity FROM (SELECT x.t AS a, y.t AS b, len(list_intersect(x.w, y.w)) / CAST(len(list_distinct(list_concat(x.w, y.w))) AS DOUBLE) AS similarity FROM (SELECT DISTINCT name || ' ' || brand AS t, string_split(lower(name || ' ' || brand), ' ') AS w FROM messy) x, (SELECT DISTINCT name || ' ' || brand AS t, string_split(lower(name || ' ' || brand), ' ') AS w FROM messy) y WHERE x.t < y.t) WHERE similarity >= 0.5"
+_named = lambda df: df.withColumn("full_name", F.concat_ws(" ", "name", "brand"))
+_over("text_sim_join", "messy", lambda df: joins.jaccard_join(_named(df), "full_name", 0.5), _NAMES)
+_over("text_sim_topk", "messy", lambda df: joins.jaccard_join(_named(df), "full_name", 0.5, 3),
+      f"SELECT a, b, similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM ({_NAMES})) WHERE rank <= 3")
+_DOT = "list_sum(list_transform(list_zip({0}.embedding, {1}.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+_COSINE = f"""SELECT q.vec_id AS query_id, v.vec_id, {_DOT.format('q', 'v')} / (sqrt({_DOT.format('q', 'q')}) * sqrt({_DOT.format('v', 'v')})) AS cosine
+    FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0"""
+_NEAREST = f"""SELECT query_id, vec_id, round(cosine, 4) AS cosine, CAST(rank AS INT) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM ({_COSINE})) WHERE rank <= 5"""
+
+
+def _nearest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return joins.cosine_topk(vectors, vectors.filter("vec_id % 50 = 0"), 5).withColumn("cosine", F.round("cosine", 4))
+
+
+def _alike(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = joins.cosine_pairs(vectors, vectors.filter("vec_id % 50 = 0")).filter("cosine >= 0.3")
+    return found.withColumn("cosine", F.round("cosine", 4))
+
+
+QUERIES["embedding_topk"] = QUERIES["embedding_topk_all"] = (_nearest, _NEAREST)
+QUERIES["embedding_threshold"] = (_alike, f"SELECT query_id, vec_id, round(cosine, 4) AS cosine FROM ({_COSINE}) WHERE cosine >= 0.3E0")
 
 
 def _hash_near(spark, sf_dir):
@@ -77,7 +87,7 @@ QUERIES["hash_neardup"] = (
     SELECT x.rep AS a, y.rep AS b, 1 - bit_count(xor(CAST(x.h AS HUGEINT), CAST(y.h AS HUGEINT))) / 64.0E0 AS similarity FROM f x JOIN f y ON x.rep < y.rep WHERE bit_count(xor(CAST(x.h AS HUGEINT), CAST(y.h AS HUGEINT))) <= 4
     UNION ALL SELECT f.rep, h.vec_id, 1.0E0 FROM h JOIN f USING (h) WHERE h.vec_id <> f.rep""",
 )
-_COLUMNS = "product_id, name, price, price_2, diff_2, pct_2, qty_2, price_3, diff_3, pct_3"
+_COLUMNS = "product_id, name, price, price_2, diff_2, pct_2, qty_2, seller_2, price_3, diff_3, pct_3, seller_3"
 QUERIES["first_stage"] = (
     lambda spark, sf_dir: joins.first_stage(view(spark, sf_dir, "catalog"), view(spark, sf_dir, "offers")).drop("qty_3"),
     oracle("first_stage", f"SELECT {_COLUMNS} FROM first_stage"),
@@ -90,7 +100,7 @@ _two("undercut_semi", "catalog", "offers", lambda c, o: c.alias("c").join(o.alia
      "SELECT product_id, name, price FROM catalog c WHERE EXISTS (SELECT 1 FROM offers o WHERE o.product_id = c.product_id AND o.price < c.price)")
 _two("attach_by_url_id", "messy", "catalog",
      lambda m, c: m.select("product_id", url_id(F.col("raw_url"), "no").alias("id")).join(c.select(F.col("product_id").cast("string").alias("id"), F.concat("name", F.lit(".jpg")).alias("image")), "id", "left").select("product_id", F.coalesce("image", F.lit("default.jpg")).alias("image")),
-     "SELECT m.product_id, coalesce(c.name || '.jpg', 'default.jpg') AS image FROM messy m LEFT JOIN catalog c ON CAST(c.product_id AS STRING) = coalesce(nullif(regexp_extract(m.raw_url, '[?&]no=([^&#]*)', 1), ''), md5(m.raw_url))")
+     "SELECT m.product_id, coalesce(c.name || '.jpg', 'default.jpg') AS image FROM messy m LEFT JOIN catalog c ON CAST(c.product_id AS STRING) = coalesce(nullif(regexp_extract(m.raw_url, '[?&]no=(\\d+)', 1), ''), md5(m.raw_url))")
 _over("edit_ratio", "messy", lambda df: _neighbours(df).select("name", "name_b").distinct().select("name", "name_b", scores.edit_ratio("name", "name_b").alias("ratio")), None)
 _over("levenshtein_filter", "messy", lambda df: _neighbours(df).select("product_id", F.levenshtein("name", "name_b").alias("edits")).filter("edits <= 6"),
       f"SELECT product_id, levenshtein(name, name_b) AS edits FROM ({_NEXT}) WHERE levenshtein(name, name_b) <= 6")
@@ -105,12 +115,38 @@ _over("spec_similarity", "messy", lambda df: _neighbours(df).select("product_id"
 
 
 def _text_score(df):
-    near = _neighbours(df).withColumn("edit", scores.edit_ratio("name", "name_b"))
-    score = scores.text_score(F.col("edit"), scores.tfidf_cosine(F.col("name"), F.col("name_b")), scores.token_jaccard(F.col("name"), F.col("name_b")), scores.spec_similarity(F.col("raw_name"), F.col("raw_b")))
-    return near.select("product_id", score.alias("score"))
+    """Scores of the distinct pairs of names, joined back to their products."""
+    near = _neighbours(df)
+    names = near.select("raw_name", "raw_b").distinct()
+    names = names.withColumn("na", normalize_name(F.col("raw_name"))).withColumn("nb", normalize_name(F.col("raw_b")))
+    score = scores.text_score(scores.edit_ratio("na", "nb"), scores.tfidf_cosine(F.col("na"), F.col("nb")), scores.token_jaccard(F.col("raw_name"), F.col("raw_b")), scores.spec_similarity(F.col("raw_name"), F.col("raw_b")))
+    return near.join(names.select("raw_name", "raw_b", score.alias("score")), ["raw_name", "raw_b"]).select("product_id", "score")
 
 
 _over("text_score", "messy", _text_score, None)
+#: How a channel titles what it offers.
+_TITLE = "CASE offer_id % 4 WHEN 0 THEN name WHEN 1 THEN concat('new ', name, ' 500ml') WHEN 2 THEN concat(brand, ' ', name) ELSE category END"
+
+
+def matched(spark, sf_dir):
+    """The best offer of each product and channel, from names to the choice (joins.match_path)."""
+    products = view(spark, sf_dir, "catalog")
+    offers = view(spark, sf_dir, "offers").withColumnRenamed("price", "offer_price")
+    image = F.when(F.col("offer_id") % 3 > 0, F.col("offer_id") % 97 / 96.0)
+    candidates = offers.join(products.select("product_id", "name", "brand", "category"), "product_id").select(
+        "product_id", "offer_id", "channel", "seller", "qty", "offer_price", F.expr(_TITLE).alias("title"), image.alias("image_sim")
+    )
+    return joins.match_path(products, candidates, scores.edit_ratio)
+
+
+def _matched_stage(spark, sf_dir):
+    """The first-stage table of the chosen offers, and of it the undercut products."""
+    chosen = matched(spark, sf_dir).select("product_id", "channel", "offer_id", "seller", "qty", F.col("offer_price").alias("price"))
+    return rules.second_stage(joins.first_stage(view(spark, sf_dir, "catalog"), chosen))
+
+
+QUERIES["match_path"] = (lambda spark, sf_dir: matched(spark, sf_dir).select("product_id", "channel", "offer_id", "title", "combined", "offer_price"), None)
+QUERIES["matched_second_stage"] = (_matched_stage, None)
 _over("histogram_similarity", "messy", lambda df: df.select("product_id", scores.histogram_similarity(F.array(*[(F.col("product_id") % m) / float(m) for m in (3, 5, 7, 11)]), F.array(*[(F.col("size") % m) / float(m) for m in (3, 5, 7, 11)])).alias("similarity")),
       "SELECT product_id, (0.0E0 + " + " + ".join(f"(1 - least(abs(product_id % {m} / {m}.0E0 - size % {m} / {m}.0E0), 1.0E0))" for m in (3, 5, 7, 11)) + ") / 4 AS similarity FROM messy")
 _RANKED = "row_number() OVER (PARTITION BY product_id ORDER BY {0} DESC, offer_id, offer_price, seller)".format("combined")
@@ -118,7 +154,7 @@ _TOP = f"SELECT *, {_RANKED} AS rank FROM (SELECT *, {_TEXT} AS combined FROM pa
 _over("topk_matches", "pairs", lambda df: joins.topk(_combined(df), 5, 0.3).select("product_id", "offer_id", "combined", "rank"), f"SELECT product_id, offer_id, combined, CAST(rank AS INT) AS rank FROM ({_TOP}) WHERE rank <= 5")
 _over("best_match", "pairs", lambda df: joins.best_match(_combined(df), 5, 0.3, 0.7).select("product_id", "offer_id", "combined", "offer_price"),
       f"SELECT product_id, offer_id, combined, offer_price FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN combined > 0.7E0 THEN 0 ELSE 1 END, CASE WHEN combined > 0.7E0 THEN offer_price ELSE 0.0E0 END, combined DESC, offer_id, offer_price, seller) AS rn FROM ({_TOP}) WHERE rank <= 5) WHERE rn = 1")
-_over("cheapest_candidates", "pairs", lambda df: joins.cheapest(df, 10, F.col("offer_price") > 0).select("product_id", "offer_id", "offer_price", "rank"),
-      "SELECT product_id, offer_id, offer_price, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY offer_price, offer_id, seller) AS rank FROM pairs WHERE offer_price > 0) WHERE rank <= 10")
+_over("cheapest_candidates", "pairs", lambda df: joins.cheapest(df, 10, F.col("qty") > 10, page=4, pages=3).select("product_id", "offer_id", "offer_price", "rank"),
+      "SELECT product_id, offer_id, offer_price, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY offer_price, offer_id, seller) AS rank FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY offer_price, offer_id, seller) AS seen FROM pairs) WHERE seen <= 12) WHERE qty > 10) WHERE rank <= 10")
 _over("lowest_offer", "pairs", lambda df: df.groupBy("product_id").agg(F.min("offer_price").alias("lowest"), F.min_by("offer_id", F.struct("offer_price", "offer_id")).alias("offer_id")),
       "SELECT product_id, offer_price AS lowest, offer_id FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY offer_price, offer_id) AS rn FROM pairs) WHERE rn = 1")

@@ -19,16 +19,30 @@ def _over(name: str, source: str, run, sql: str) -> None:
 
 
 def shared_folder(spark) -> str:
-    """A new folder under the session's shared folder; a temporary one where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-sink-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder under the session's shared folder.
 
+    Only a local session gets a temporary one; a cluster without a shared folder is an error.
+    """
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='spark-sink-')).rstrip('/')}/{uuid.uuid4().hex}"
 
-_over("scan_catalog", "messy", lambda df: sheets.null_errors(df).select("product_id", "raw_price"), "SELECT product_id, CASE WHEN raw_price <> '#REF!' THEN raw_price END AS raw_price FROM messy")
+
+def _scan(df):
+    """The sheet as an older export, in CP949, read back."""
+    path = shared_folder(df.sparkSession)
+    sheets.write_csv(df.select("product_id", "raw_price", "raw_qty"), path, "CP949")
+    return sheets.read_csv(df.sparkSession, path, "product_id long, raw_price string, raw_qty string")
+
+
+_over("scan_catalog", "messy", _scan, "SELECT product_id, CASE WHEN raw_price NOT IN ('#REF!', '') THEN raw_price END AS raw_price, raw_qty FROM messy")
 _over("harmonize_columns", "messy",
-      lambda df: sheets.harmonize(df.select("product_id", F.col("name").alias("제품명"), F.col("price").alias("Price "), F.col("raw_url").alias("상품링크")), "product_id", "sheet")
-      .toDF("product_id", "name", "price", "code", "image", "link", "source"),
-      "SELECT product_id, name, price, 'GEN-' || CAST(product_id AS STRING) AS code, '' AS image, raw_url AS link, 'sheet' AS source FROM messy")
+      lambda df: sheets.harmonize(df.select("product_id", F.col("name").alias("제품명"), F.col("price").alias("Price "), F.col("raw_url").alias("상품링크"), F.col("size").alias("수량")), "product_id", "sheet")
+      .select("product_id", F.col("상품명").alias("name"), F.col("판매단가(V포함)").alias("price"), F.col("상품Code").alias("code"), F.col("본사 이미지").alias("image"), F.col("본사상품링크").alias("link"), F.col("기본수량(1)").alias("qty"), F.col("제품명").alias("own_name"), "source"),
+      "SELECT product_id, name, price, 'GEN-' || CAST(product_id AS STRING) AS code, '' AS image, raw_url AS link, size AS qty, name AS own_name, 'sheet' AS source FROM messy")
+
 
 def _items(df):
     text = lambda c: F.col(c).cast("string")
@@ -51,10 +65,24 @@ _over("product_json_roundtrip", "messy",
       "SELECT CAST(product_id AS STRING) AS id, name, 'sheet' AS source, price, CASE WHEN product_id % 3 <> 0 THEN brand END AS brand, category FROM messy WHERE product_id % 10 <> 0")
 _over("sink_roundtrip", "offers", lambda df: sheets.write_table(df.select("offer_id", "product_id", "price", "channel"), shared_folder(df.sparkSession), by="channel").select("offer_id", "product_id", "price", F.col("channel").cast("string").alias("channel")),
       "SELECT offer_id, product_id, price, channel FROM offers")
-_over("split_parts", "messy", lambda df: split_parts(df.select("product_id", "division"), "product_id"),
-      "SELECT product_id, division, part, count(*) OVER (PARTITION BY part) AS part_size FROM (SELECT product_id, division, CAST((row_number() OVER (ORDER BY product_id) - 1) // 300 + 1 AS BIGINT) AS part FROM messy)")
-_over("merge_parts", "messy", lambda df: df.filter("division = 'A'").unionByName(df.filter("division <> 'A'")).unionByName(df.filter("product_id < 0")).groupBy("division").agg(F.count(F.lit(1)).alias("n_rows")),
-      "SELECT division, count(*) AS n_rows FROM messy GROUP BY division")
+_over("split_parts", "messy", lambda df: split_parts(df.select("product_id", "division"), "product_id", division="division"),
+      "SELECT product_id, division, part, part_size, CASE WHEN (SELECT arg_min(division, product_id) FROM messy) = 'P' THEN '가격관리' ELSE '승인관리' END || CAST(part AS STRING) || '(' || CAST(part_size AS STRING) || ')' AS label FROM (SELECT *, count(*) OVER (PARTITION BY part) AS part_size FROM (SELECT product_id, division, CAST((row_number() OVER (ORDER BY product_id) - 1) // 300 + 1 AS BIGINT) AS part FROM messy))")
+
+
+def _merged(df):
+    """Parts written below one folder, one of them empty and one without the brand, read as one table."""
+    folder = shared_folder(df.sparkSession)
+    parts = split_parts(df.select("product_id", "name", "brand"), "product_id")
+    sheets.write_table(parts.filter("part % 2 = 0"), f"{folder}/even", by="part")
+    sheets.write_table(parts.filter("part % 2 = 1").drop("brand"), f"{folder}/odd")
+    sheets.write_table(parts.filter("part < 0"), f"{folder}/none")
+    return sheets.merge_folder(df.sparkSession, folder).select("product_id", "name", "brand")
+
+
+_over("merge_parts", "messy", _merged,
+      "SELECT product_id, name, CASE WHEN (row_number() OVER (ORDER BY product_id) - 1) // 300 % 2 = 1 THEN brand END AS brand FROM messy")
+_over("resume_at", "first_stage", lambda df: sheets.resume_at(df.select("product_id", F.when(F.col("diff_2") < 0, "l2").alias("link_2"), F.when(F.col("diff_3") < 0, "l3").alias("link_3")), "product_id", ("link_2", "link_3")),
+      "SELECT min(product_id) AS product_id FROM first_stage WHERE NOT coalesce(diff_2 < 0, false) AND NOT coalesce(diff_3 < 0, false) HAVING count(*) > 0")
 _over("resume_pending", "first_stage", lambda df: sheets.pending(df.select("product_id", "name"), df.filter((F.col("diff_2") < 0) & (F.col("diff_3") < 0)), "product_id"),
       "SELECT product_id, name FROM first_stage WHERE NOT coalesce(diff_2 < 0 AND diff_3 < 0, false)")
 _over("limit_preview", "messy", lambda df: df.select("product_id", "name", "price").orderBy("product_id").limit(10), "SELECT product_id, name, price FROM messy ORDER BY product_id LIMIT 10")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wareweave.operators.summaries import exact_sum, price_map, tier_coverage
+from wareweave.operators.summaries import mean, price_map, tier_coverage
 from wareweave.plans.views import oracle, view
 from wareweave.session import table
 
@@ -20,14 +20,14 @@ def _tiers(df):
     return df.select("product_id", "qty", F.col("price").alias("unit_price"), "offer_id", "supplier_id")
 
 
-_DIFF = "CAST(sum(CAST(floor(({0}) * 10000) AS BIGINT)) AS DOUBLE) / 10000.0E0 / count({0})"
+_MEAN = "round(avg({0}), 6)"
 _over("price_summary", "pairs",
-      lambda df: df.withColumn("diff", F.col("offer_price") - F.col("price")).withColumn("pct", F.col("diff") / F.col("price") * 100)
-      .groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("diff") < 0).alias("cheaper"), (exact_sum(F.col("diff")) / F.count("diff")).alias("mean_diff"), F.max("diff").alias("max_diff"), F.min("diff").alias("min_diff"), (exact_sum(F.col("pct")) / F.count("pct")).alias("mean_pct")),
-      f"SELECT channel, count(*) AS n, CAST(count_if(offer_price - price < 0) AS BIGINT) AS cheaper, {_DIFF.format('offer_price - price')} AS mean_diff, max(offer_price - price) AS max_diff, min(offer_price - price) AS min_diff, {_DIFF.format('(offer_price - price) / price * 100')} AS mean_pct FROM pairs GROUP BY channel")
+      lambda df: df.withColumn("diff", F.col("offer_price") - F.col("price")).withColumn("pct", F.try_divide("diff", "price") * 100)
+      .groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("diff") < 0).alias("cheaper"), mean(F.col("diff")).alias("mean_diff"), F.max("diff").alias("max_diff"), F.min("diff").alias("min_diff"), mean(F.col("pct")).alias("mean_pct")),
+      f"SELECT channel, count(*) AS n, CAST(count_if(offer_price - price < 0) AS BIGINT) AS cheaper, {_MEAN.format('offer_price - price')} AS mean_diff, max(offer_price - price) AS max_diff, min(offer_price - price) AS min_diff, {_MEAN.format('(offer_price - price) / nullif(price, 0) * 100')} AS mean_pct FROM pairs GROUP BY channel")
 _over("issue_stats", "pairs",
-      lambda df: df.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.abs(F.col("offer_price") - F.col("price")) / F.col("price") > 0.1).alias("price_issues"), F.count_if(F.col("stock") != "F").alias("stock_issues"), F.count_if(~F.col("has_images")).alias("unmatched")),
-      "SELECT count(*) AS total, CAST(count_if(abs(offer_price - price) / price > 0.1E0) AS BIGINT) AS price_issues, CAST(count_if(stock <> 'F') AS BIGINT) AS stock_issues, CAST(count_if(NOT has_images) AS BIGINT) AS unmatched FROM pairs")
+      lambda df: df.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.try_divide(F.abs(F.col("offer_price") - F.col("price")), F.col("price")) > 0.1).alias("price_issues"), F.count_if(F.col("stock") != "F").alias("stock_issues"), F.count_if(~F.col("has_images")).alias("unmatched")),
+      "SELECT count(*) AS total, CAST(count_if(abs(offer_price - price) / nullif(price, 0) > 0.1E0) AS BIGINT) AS price_issues, CAST(count_if(stock <> 'F') AS BIGINT) AS stock_issues, CAST(count_if(NOT has_images) AS BIGINT) AS unmatched FROM pairs")
 _over("match_coverage", "first_stage", lambda df: df.agg(F.count(F.lit(1)).alias("n_products"), F.count("price_2").alias("matched_2"), F.count("price_3").alias("matched_3"), F.count_if(F.col("price_2").isNotNull() & F.col("price_3").isNotNull()).alias("matched_both")),
       "SELECT count(*) AS n_products, count(price_2) AS matched_2, count(price_3) AS matched_3, CAST(count_if(price_2 IS NOT NULL AND price_3 IS NOT NULL) AS BIGINT) AS matched_both FROM first_stage")
 QUERIES["request_rates"] = (

@@ -30,7 +30,7 @@ SELECT p_partkey AS product_id,
   CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'AB-' || CAST(p_partkey AS STRING) WHEN 2 THEN 'x#' || CAST(p_partkey AS STRING) || '!'
     WHEN 3 THEN '  ' WHEN 4 THEN '##' ELSE CAST(NULL AS STRING) END AS raw_code,
   CASE p_partkey % 8 WHEN 0 THEN '#REF!' WHEN 1 THEN '-' WHEN 2 THEN '1,' || CAST(100 + p_partkey % 900 AS STRING) WHEN 3 THEN CAST(NULL AS STRING)
-    WHEN 4 THEN CAST(p_partkey * 10 AS STRING) || '원' WHEN 5 THEN '' WHEN 6 THEN '동일상품 없음' ELSE CAST(p_partkey AS STRING) || '.5' END AS raw_price,
+    WHEN 4 THEN CAST(p_partkey * 10 AS STRING) || '원' WHEN 5 THEN '' WHEN 6 THEN '동일상품 없음' ELSE CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '.5.1' ELSE '.5' END END AS raw_price,
   CASE p_partkey % 7 WHEN 0 THEN 'www.example.com/p/' || CAST(p_partkey AS STRING) WHEN 1 THEN 'http://user@example.com/a b.jpg' WHEN 2 THEN ''
     WHEN 3 THEN '//img.example.com/' || CAST(p_partkey AS STRING) || '.png' WHEN 4 THEN '=IMAGE("https://img.example.com/' || CAST(p_partkey AS STRING) || '.jpg", 2)'
     WHEN 5 THEN 'https://example.com/i?no=' || CAST(p_partkey AS STRING) || '#top' ELSE 'none' END AS raw_url,
@@ -41,17 +41,19 @@ SELECT p_partkey AS product_id,
   p_name AS name, p_type AS category, p_brand AS brand, p_retailprice AS price, p_size AS size
 FROM {part}
 """
-#: Best offer of each channel beside its product: the first-stage table.
+#: Cheapest offer of each channel beside its product: the first-stage table.
 FIRST_STAGE = """
-WITH o AS (""" + OFFERS + """), b AS (
-  SELECT product_id, MIN(CASE WHEN channel = 'c2' THEN price END) AS price_2, MIN(CASE WHEN channel = 'c2' THEN qty END) AS qty_2,
-    MIN(CASE WHEN channel = 'c3' THEN price END) AS price_3, MIN(CASE WHEN channel = 'c3' THEN qty END) AS qty_3
-  FROM o GROUP BY product_id
+WITH o AS (""" + OFFERS + """), r AS (
+  SELECT *, row_number() OVER (PARTITION BY product_id, channel ORDER BY price, qty, offer_id, seller) AS rn FROM o WHERE price IS NOT NULL
+), b AS (
+  SELECT product_id, MAX(CASE WHEN channel = 'c2' THEN price END) AS price_2, MAX(CASE WHEN channel = 'c2' THEN qty END) AS qty_2, MAX(CASE WHEN channel = 'c2' THEN seller END) AS seller_2,
+    MAX(CASE WHEN channel = 'c3' THEN price END) AS price_3, MAX(CASE WHEN channel = 'c3' THEN qty END) AS qty_3, MAX(CASE WHEN channel = 'c3' THEN seller END) AS seller_3
+  FROM r WHERE rn = 1 GROUP BY product_id
 )
 SELECT p.p_partkey AS product_id, p.p_name AS name, p.p_retailprice AS price,
-  price_2, price_2 - p_retailprice AS diff_2, (price_2 - p_retailprice) / p_retailprice * 100 AS pct_2, CAST(qty_2 AS DOUBLE) AS qty_2,
-  price_3, price_3 - p_retailprice AS diff_3, (price_3 - p_retailprice) / p_retailprice * 100 AS pct_3,
-  CASE WHEN p_partkey % 3 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(qty_3 AS DOUBLE) END AS qty_3
+  price_2, price_2 - p_retailprice AS diff_2, (price_2 - p_retailprice) / nullif(p_retailprice, 0) * 100 AS pct_2, CAST(qty_2 AS DOUBLE) AS qty_2, seller_2,
+  price_3, price_3 - p_retailprice AS diff_3, (price_3 - p_retailprice) / nullif(p_retailprice, 0) * 100 AS pct_3,
+  CASE WHEN p_partkey % 3 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(qty_3 AS DOUBLE) END AS qty_3, seller_3
 FROM {part} p LEFT JOIN b ON p.p_partkey = b.product_id
 """
 #: Scored pairs of products and their offers: scores come from keys, so both engines agree.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +31,20 @@ ALTERNATIVES = {
 PRODUCT = "struct<id:string,name:string,source:string,price:double,brand:string,category:string>"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A sheet exported as CSV; error cells are null. Pass encoding="CP949" for older exports."""
-    reader = spark.read.option("header", True).option("encoding", encoding)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str | None = None) -> DataFrame:
+    """A sheet exported as CSV; error cells are null.
+
+    Without an encoding it is UTF-8, or CP949 where the file holds bytes that are no UTF-8.
+    Spark reads other than the standard encodings only with its setting for Java charsets,
+    which is switched on for the session then.
+    """
+    if encoding is None:
+        broken = spark.read.text(path).filter(~F.is_valid_utf8("value"))
+        encoding = "UTF-8" if broken.isEmpty() else "CP949"
+    reader = spark.read.option("header", True)
+    if encoding.upper() != "UTF-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    reader = reader.option("encoding", encoding)
     return null_errors((reader.schema(schema) if schema else reader).csv(path))
 
 
@@ -41,26 +55,43 @@ def null_errors(df: DataFrame) -> DataFrame:
 
 
 def resolve_headers(columns: list[str]) -> dict[str, str]:
-    """Canonical name -> sheet column: alias, equal but for case, then a part of the name."""
-    found: dict[str, str] = {}
-    for c in columns:
-        name = ALIASES.get(c.strip(), c.strip())
-        if name in ALTERNATIVES or name in ALIASES.values():
-            found.setdefault(name, c)
+    """Canonical name -> sheet column, for names that the sheet does not have itself.
+
+    Aliases come first. A required name that is still missing goes to the column equal
+    but for case, else by the order of its alternatives to the first column that holds
+    one as a part. A column may stand for several names.
+    """
+    found = {c.strip(): c for c in columns}
+    for alias, name in ALIASES.items():
+        if alias in found and name not in found:
+            found[name] = found[alias]
     for name, others in ALTERNATIVES.items():
-        for test in (str.__eq__, str.__contains__):
-            for c in columns:
-                if name not in found and c not in found.values() and any(test(c.strip().lower(), o.lower()) for o in (name, *others)):
-                    found[name] = c
-    return found
+        if name not in found:
+            same = [c for n, c in found.items() if n.lower() == name.lower()]
+            like = [c for o in others for n, c in found.items() if o.lower() in n.lower()]
+            if same or like:
+                found[name] = (same or like)[0]
+    return {n: c for n, c in found.items() if n in ALTERNATIVES or n in ALIASES.values()}
 
 
 def harmonize(df: DataFrame, key: str, source: str) -> DataFrame:
-    """Canonical columns under their names; missing ones get 0, GEN-key or ''."""
+    """The sheet with its own columns and the canonical ones; missing ones get 0, GEN-key or ''."""
     found = resolve_headers(df.columns)
     defaults = {"판매단가(V포함)": F.lit(0.0), "상품Code": F.concat(F.lit("GEN-"), F.col(key).cast("string"))}
-    columns = [F.col(f"`{found[n]}`").alias(n) if n in found else defaults.get(n, F.lit("")).alias(n) for n in ALTERNATIVES]
-    return df.select(key, *columns, F.lit(source).alias("source"))
+    added = {n: F.col(f"`{c}`") for n, c in found.items() if n not in df.columns}
+    added |= {n: defaults.get(n, F.lit("")) for n in ALTERNATIVES if n not in found}
+    if "source" not in df.columns:
+        added["source"] = F.lit(source)
+    return df.withColumns(added)
+
+
+def strip_at(df: DataFrame) -> DataFrame:
+    """Every text column without the sign @."""
+    return df.withColumns({c: F.translate(c, "@", "") for c, kind in df.dtypes if kind == "string"})
+
+
+def missing_columns(df: DataFrame, required: tuple[str, ...] = ("상품명", "판매단가(V포함)")) -> list[str]:
+    return [c for c in required if c not in df.columns]
 
 
 def parse_items(df: DataFrame, column: str) -> DataFrame:
@@ -93,7 +124,24 @@ def write_table(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """Write a result table as Parquet, partitioned by a column, and read it again."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    """A report as CSV with a header."""
+    if encoding.upper() != "UTF-8":
+        df.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
+    df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
+
+
+def merge_folder(spark: SparkSession, path: str) -> DataFrame:
+    """All part tables below a folder as one; columns that a part lacks are null, empty parts add nothing."""
+    return spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(path)
+
+
+def resume_at(df: DataFrame, seq: str, links: tuple[str, ...]) -> DataFrame:
+    """(seq,): the first row in order in which all links are empty; none if there is no such row."""
+    return df.filter(reduce(and_, [F.col(c).isNull() for c in links])).select(seq).orderBy(seq).limit(1)
 
 
 def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
