@@ -54,7 +54,7 @@ SHORT, HUGE = 256, 2048
 #: Rows that the rounds of one query may produce, ids in one query, characters in one stretch.
 ROWS, IDS, STRETCH = 6_000_000, 500_000, 1 << 20
 #: Encoded words and pieces that a worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 DUCKDB_MEMORY = "300MB"
 
 ENCODE = """

@@ -41,7 +41,7 @@ from wareweave.llm.sampling import held_out, labelled_sample
 ROWS_PER_CLASS = 6000
 SAMPLE_BYTES = 64 << 20
 MAX_TERMS, MIN_Z, MIN_DOCS = 2048, 6.0, 10
-PAIR_TERMS, MIN_PAIR_Z = 1024, 12.0
+PAIR_TERMS, MIN_PAIR_Z = 1024, 20.0
 FACTORS, STEPS, RATE, DECAY = 8, 300, 0.05, 1e-4
 THRESHOLD = 0.5
 #: Bytes of the beginnings of words that are terms of their own.
@@ -79,11 +79,11 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def _columns(owner: np.ndarray, place: np.ndarray, chosen: np.ndarray, rows: int, terms: int) -> np.ndarray:
+def _columns(owner: np.ndarray, place: np.ndarray, chosen: np.ndarray, rows: int, terms: int, kind: type) -> np.ndarray:
     """0/1 matrix of rows by chosen terms."""
-    column = np.full(terms, -1)
-    column[chosen] = np.arange(len(chosen))
-    x = np.zeros((rows, len(chosen)), np.float32)
+    column = np.full(terms, -1, np.int32)
+    column[chosen] = np.arange(len(chosen), dtype=np.int32)
+    x = np.zeros((rows, len(chosen)), kind)
     there = column[place] >= 0
     x[owner[there], column[place][there]] = 1
     return x
@@ -93,7 +93,7 @@ def _paired(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     """For each column, how clearly its clearest pair interacts differently in the classes."""
     excess, variance = 0.0, 0.0
     for c, sign in ((1, 1.0), (0, -1.0)):
-        mine = x[label == c]
+        mine = x[label == c].astype(np.float32)
         p = mine.mean(0, dtype=np.float64).astype(np.float32)
         together = np.outer(p, p)
         excess = excess + sign * (mine.T @ mine / np.float32(len(mine)) - together)
@@ -112,7 +112,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, population: dict[int, int]) -
     sizes = np.array([len(r) for r in rows])
     hashes = np.concatenate(rows)
     known, place = np.unique(hashes, return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    place, owner = place.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     with1 = np.bincount(place, weights=label[owner], minlength=len(known))
     with_any = np.bincount(place, minlength=len(known))
     p = with_any / (n1 + n0)
@@ -121,11 +121,11 @@ def fit(rows: list[np.ndarray], label: np.ndarray, population: dict[int, int]) -
     clear = clear[np.argsort(-np.abs(z[clear]), kind="stable")][:MAX_TERMS]
     common = np.flatnonzero((with_any >= MIN_DOCS) & (p < 0.95))
     common = common[np.argsort(-with_any[common], kind="stable")][:PAIR_TERMS]
-    pair = _paired(_columns(owner, place, common, len(rows), len(known)), label)
+    pair = _paired(_columns(owner, place, common, len(rows), len(known), np.uint8), label)
     joint = common[np.argsort(-pair, kind="stable")][: int((pair >= MIN_PAIR_Z).sum())]
     joint = joint[~np.isin(joint, clear)]
     clear = np.sort(np.r_[clear, joint][:MAX_TERMS])
-    x = _columns(owner, place, clear, len(rows), len(known))
+    x = _columns(owner, place, clear, len(rows), len(known), np.float32)
     y = label.astype(np.float32)
     rng = np.random.default_rng(7)
     params = [np.zeros(1, np.float32), np.zeros(len(clear), np.float32), rng.normal(0, 0.05, (len(clear), FACTORS)).astype(np.float32)]
