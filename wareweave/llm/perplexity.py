@@ -1,25 +1,33 @@
 """Quality rules with an n-gram perplexity band per language.
 
-The model is an interpolated modified Kneser-Ney model of order four over the
-symbols of a text's words and the boundaries between them. Spark counts the 4-grams of
-all documents (each task tallies its share, the tallies are summed by code); the
-continuation counts of the lower orders, the discounts and the probabilities follow
-from that table. The model is kept in sorted arrays of n-gram hashes (6 bits a symbol,
-see symbols.py) with one log probability each, looked up by binary search, and is
-broadcast: it has at most 2^24 + 2^18 + 2^12 + 2^6 entries of 8 bytes for any corpus.
-
-A document's perplexity is e to its mean negative log probability per symbol. Each
-language has a lower and an upper bound: the median of the log perplexities of its
-documents that pass the base rules, less or plus ``SPREADS`` robust standard
-deviations of that side (from the lower or upper quartile), ``LEAST`` nats at least.
-The quartiles come from exact counts over all documents in bins of 1/1000 nat, each
-distinct text hash counted once so that a large group of copies does not set them.
+The model is an interpolated modified Kneser-Ney model of order five over code points,
+words and the boundaries between them, and it grows with the corpus. Spark counts the
+5-grams of all documents (each task tallies its share, the tallies are summed by code,
+see points.py). Continuation counts, discounts, back-off and probabilities follow from
+that table by grouping, windows and joins, order by order: a context has at most 4,096
+followers and a suffix at most 4,096 predecessors, so no group grows with the corpus.
+Texts fall into sixteen groups by their CRC; a 5-gram of one group alone counts as
+unseen and backs off, or a text would vouch for itself.
+
+Scoring needs one cost for each 5-gram, as every text was counted. The most frequent
+5-grams, ``HOT`` at most, are broadcast as sorted hash arrays and looked up by binary
+search where the texts are read. The others leave the task as (5-gram, times) of their
+row and meet the rest of the table in a sort-merge join, so no cost is left out. Costs
+are whole micronats: sums are exact in any order.
+
+A document's perplexity is e to its mean cost in nats per word. Each language has a
+lower and an upper bound: the median of the log perplexities of its documents that
+pass the base rules, less or plus ``SPREADS`` robust standard deviations of that side
+(from the lower or upper quartile), ``LEAST`` nats at least. The quartiles come from
+exact counts over all documents in bins of 1/1000 nat, each distinct text hash counted
+once so that a large group of copies does not set them.
 
 Defined cases: null, empty and blank texts have no words, fail the base rules and have
-a null perplexity; a null language is a language of its own; repeated rows get the
-same result; a language whose documents all fail the base rules has no band and
-rejects nothing further; an empty table gives an empty result; other columns are
-not read.
+a null perplexity; very long texts are counted and scored whole, in stretches; a null
+language is a language of its own; repeated rows get the same result; a perplexity on
+a bound is kept, and one above the largest double is infinite; a language whose documents all fail the base rules has no band and
+rejects nothing further; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,49 +37,77 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wareweave.llm.batches import add_columns
 from wareweave.llm.common import checkpoint, table, whole_text
-from wareweave.llm.ngrams import NgramTables, count_ngrams, gather, suffix, text_sums
-from wareweave.llm.symbols import ORDER, codes, symbols, tally
+from wareweave.llm.points import BITS, ORDER, SYMBOLS, count_ngrams, stretches
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Half-width of a band in robust standard deviations, and in nats at least.
 #: The tightest half-step that costs labelled good rows outside the held-out fold under 1 %.
-SPREADS, LEAST = 3.5, 0.03
+SPREADS, LEAST = 4.5, 0.03
 BINS_PER_NAT = 1000
+#: 5-grams in the broadcast part of the model, 12 bytes each.
+HOT = 1 << 21
+MICRO = 1_000_000
 SIGNS = re.compile(r"[#*$%&|<>]")
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
+def _discounts(n: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from how many n-grams have count 1 to 4."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
     ratio = lambda a, b: b / a if a else 1 / 2
     raw = [k - (k + 1) * y * ratio(n[k - 1], n[k]) for k in (1, 2, 3)]
-    return np.array([0.0, *(min(max(d, 0.1 * k), 0.95 * k) for k, d in zip((1, 2, 3), raw, strict=True))])
+    return [min(max(d, 0.1 * k), 0.95 * k) for k, d in zip((1, 2, 3), raw, strict=True)]
 
 
-def kneser_ney(code: np.ndarray, count: np.ndarray) -> NgramTables:
-    """Modified Kneser-Ney: sorted 4-gram hashes and their counts give all orders."""
-    levels = [(code, count)]
+def _suffix(order: int) -> Column:
+    return F.col("code").bitwiseAND(F.lit((1 << BITS * order) - 1))
+
+
+def _interpolate(level: DataFrame, shorter: DataFrame | None) -> DataFrame:
+    """(code, p) of one order's n-grams; n is 0 for those that only need a probability."""
+    n = level.agg(*(F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
+    d1, d2, d3 = _discounts(list(n))
+    cut = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+    context = Window.partitionBy(F.shiftright("code", BITS))
+    level = level.withColumn("cut", cut).select("*", F.sum("cut").over(context).alias("left"), F.sum("n").over(context).alias("total"))
+    lower = F.lit(1.0 / SYMBOLS) if shorter is None else F.col("lower")
+    if shorter is not None:
+        level = level.join(shorter.select(F.col("code").alias("suffix"), F.col("p").alias("lower")), "suffix")
+    own = (F.col("n") - F.col("cut") + F.col("left") * lower) / F.col("total")
+    return level.select("code", F.when(F.col("total") > 0, own).otherwise(lower).alias("p"))
+
+
+def kneser_ney(seen: DataFrame) -> DataFrame:
+    """(code, n, cost): of every 5-gram, its count and its cost in micronats."""
+    levels = [seen.select("code", F.when(F.col("shared"), F.col("n")).otherwise(0).alias("n"))]
     for order in range(ORDER - 1, 0, -1):  # how many distinct symbols precede the suffix
-        levels.insert(0, tally(suffix(levels[0][0], order)))
+        known = (F.col("n") > 0).cast("long")
+        levels.insert(0, checkpoint(levels[0].groupBy(_suffix(order).alias("code")).agg(F.sum(known).alias("n"))))
+    p = None
+    for order, level in enumerate(levels, 1):
+        p = checkpoint(_interpolate(level.withColumn("suffix", _suffix(order - 1)), p))
+    return seen.select("code", "n").join(p, "code").select("code", "n", F.round(-F.log("p") * MICRO).cast("int").alias("cost"))
 
-    def discount(n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cut = _discounts(n)[np.minimum(n, 3)]
-        return n - cut, np.add.reduceat(cut, first), np.add.reduceat(n, first)
 
-    return NgramTables(levels, discount)
+def train(docs: DataFrame) -> DataFrame:
+    """The model of all documents, a table (code, n, cost)."""
+    return checkpoint(kneser_ney(checkpoint(count_ngrams(docs.select(whole_text().alias("text"))))))
 
 
-def train(docs: DataFrame) -> NgramTables:
-    """The model of all documents; its size is bounded by the hash, not by the corpus."""
-    return kneser_ney(*gather(count_ngrams(docs.select(whole_text().alias("text")))))
+def split(model: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The n-grams of the highest counts, ``most`` at most, and all others."""
+    power = F.floor(F.log2("n") + 1e-9).cast("int")
+    sizes = dict(model.groupBy(power.alias("power")).count().collect())  # 63 rows at most
+    least = 63
+    while least and sum(n for p, n in sizes.items() if p >= least - 1) <= most:
+        least -= 1
+    return model.filter(power >= least), model.filter(power < least)
 
 
 def word_rules(text: str) -> tuple[int, int, int, int, int]:
@@ -95,20 +131,57 @@ def word_rules(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(SIGNS.findall(text)), dup, repeat
 
 
-def score(docs: DataFrame, model: NgramTables) -> DataFrame:
-    """Add the rule columns and entropy, the mean negative log probability per symbol."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    added = T.StructType([*(T.StructField(n, T.LongType()) for n in names), T.StructField("entropy", T.DoubleType())])
+def _rest(rows: np.ndarray, code: np.ndarray, n_rows: int) -> pa.Array:
+    """A list of (code, times) for each row, from the row and code of each occurrence."""
+    order = np.lexsort((code, rows))
+    rows, code = rows[order], code[order]
+    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (rows[1:] != rows[:-1])]) if len(code) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[first, len(code)])
+    offsets = np.searchsorted(rows[first], np.arange(n_rows + 1)).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(code[first].astype(np.int64)), pa.array(times.astype(np.int64))], names=["code", "times"])
+    return pa.ListArray.from_arrays(pa.array(offsets), pairs)
+
+
+def score(docs: DataFrame, model: DataFrame, hot: int = HOT) -> DataFrame:
+    """Add the rule columns and entropy, the mean cost in nats per word."""
+    frequent, others = split(model, hot)
+    found = frequent.select("code", "cost").toArrow()
+    keys, costs = found.column("code").to_numpy(), found.column("cost").to_numpy()
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order].astype(np.uint64), costs[order].astype(np.int32)))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__ww_cost")
+    rest = T.ArrayType(T.StructType([T.StructField("code", T.LongType()), T.StructField("times", T.LongType())]))
+    added = T.StructType([*(T.StructField(n, T.LongType()) for n in names), T.StructField("__ww_rest", rest)])
 
     def work(texts: list[str]) -> list[pa.Array]:
         rules = np.array([word_rules(t) for t in texts], np.int64).reshape(-1, 5)
-        s, sizes = symbols(texts)
-        sums = text_sums(shared.value.score(codes(s, sizes)), sizes)
-        entropy = pa.array(-sums / np.maximum(sizes, 1), mask=sizes == 0)
-        return [*(pa.array(rules[:, i]) for i in range(5)), entropy]
-
-    return add_columns(docs.withColumn("text", whole_text()), "text", added, work)
+        keys, costs = shared.value
+        cost = np.zeros(len(texts), np.int64)
+        rows, codes = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+        for code, row in stretches(texts):
+            wanted, which = np.unique(code, return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+            known = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+            each = np.where(known, costs[at], 0) if len(keys) else np.zeros(len(wanted))
+            known = known[which]
+            # below 2^53, so the weights' float sums are exact
+            cost += np.bincount(row, each[which], len(texts)).astype(np.int64)
+            rows.append(row[~known])
+            codes.append(code[~known])
+        return [
+            *(pa.array(rules[:, i]) for i in range(5)),
+            pa.array(cost),
+            _rest(np.concatenate(rows), np.concatenate(codes), len(texts)),
+        ]
+
+    scored = add_columns(docs.withColumn("text", whole_text()), "text", added, work).drop("text")
+    scored = checkpoint(scored.withColumn("__ww_row", F.monotonically_increasing_id()))
+    left = scored.select("__ww_row", F.explode("__ww_rest").alias("pair")).select("__ww_row", "pair.code", "pair.times")
+    left = left.join(others.select("code", "cost"), "code").groupBy("__ww_row").agg(F.sum(F.col("cost") * F.col("times")).alias("__ww_more"))
+    cost = F.col("__ww_cost") + F.coalesce("__ww_more", F.lit(0))
+    entropy = F.when(F.col("n_words") > 0, cost / F.col("n_words") / MICRO)
+    scored = scored.drop("__ww_rest").join(left, "__ww_row", "left").withColumn("entropy", entropy)
+    return scored.drop("__ww_row", "__ww_cost", "__ww_more")
 
 
 def bands(scored: DataFrame) -> DataFrame:
@@ -131,11 +204,11 @@ def bands(scored: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, the rule columns, base_failed, perplexity, its bounds, and kept."""
     rows = docs.select("doc_id", "lang", whole_text().alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    scored = score(rows, train(docs)).drop("text")
+    scored = score(rows, train(docs), hot)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = checkpoint(scored.withColumn("base_failed", failed))
     # One row per language: checked, as a hint for a long list of languages would not hold.
