@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wareweave.functions import money, scores, text, urls
-from wareweave.operators import joins, rules
+from wareweave.operators import joins, rules, vectors
 from wareweave.sources import sheets
 
 
@@ -21,7 +21,7 @@ def one(spark, column, **values):
         (text.clean_name, "NEW cup 2024_A. 1+1 // note", "cup"),
         (text.clean_name, "정품 스텐 컵", "스텐 컵"),
         (text.search_key, "7-tea_pot/(15)", "tea pot"),
-        (text.clean_name_match, "컵 [new] (red) a.b", "컵 a b"),
+        (text.clean_name_match, "컵 [new] (red) a.b-c", "컵 a b-c"),
         (text.stock_status, "일시품절", "Out of Stock"),
         (text.stock_status, "재고 부족", "Low Stock"),
         (text.normalize_name, "Samsung, TV!", "삼성 tv"),
@@ -160,12 +160,12 @@ def test_blocked_joins_find_what_exact_joins_find(spark):
     exact = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
     found = joins.jaccard_join(spark.createDataFrame([(n,) for n in names], "name string"), "name", 0.5).collect()
     assert {(r["a"], r["b"]) for r in found} == exact
-    vectors = [(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(10)]
-    vectors += [(100 + i, [-x if j in rng.sample(range(64), 4) else x for j, x in enumerate(v)]) for i, v in vectors]
-    bits = {i: [x > 0 for x in v] for i, v in vectors}
+    points = [(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(10)]
+    points += [(100 + i, [-x if j in rng.sample(range(64), 4) else x for j, x in enumerate(v)]) for i, v in points]
+    bits = {i: [x > 0 for x in v] for i, v in points}
     apart = lambda a, b: sum(x != y for x, y in zip(bits[a], bits[b], strict=True))
     exact = {(a, b) for a in bits for b in bits if a < b and apart(a, b) <= 4}
-    found = joins.hash_near(spark.createDataFrame(vectors, "vec_id int, embedding array<double>")).collect()
+    found = joins.hash_near(spark.createDataFrame(points, "vec_id int, embedding array<double>")).collect()
     assert {(r["a"], r["b"]) for r in found} == exact
 
 
@@ -178,12 +178,14 @@ def test_parts_are_full_but_the_last(spark):
 
 
 @pytest.mark.parametrize("rows", [7, 1000])
-def test_nearest_vectors_of_any_label(spark, rows):
+def test_nearest_vectors_of_any_label(spark, rows, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 4)
     rng = np.random.default_rng(3)
     values = rng.normal(size=(60, 8))
     data = [(i, v.tolist(), None if i % 7 == 0 else i % 5) for i, v in enumerate(values)]
     df = spark.createDataFrame(data, "vec_id int, embedding array<double>, label int")
     unit = values / np.linalg.norm(values, axis=1, keepdims=True)
     want = {(q, int(v), r) for q in range(0, 60, 10) for r, v in enumerate([v for v in np.argsort(-(unit @ unit[q])) if v != q][:3], 1)}
-    found = joins.cosine_topk(df, df.filter("vec_id % 10 = 0"), 3, rows).collect()
+    found = vectors.cosine_topk(df, df.filter("vec_id % 10 = 0"), 3, 8).collect()
     assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found} == want

@@ -84,9 +84,9 @@ def search_key(c: Column) -> Column:
 
 
 def clean_name_match(c: Column) -> Column:
-    """The form in which names are compared: no bracketed parts, no punctuation."""
+    """The form in which names are compared: no bracketed parts, no punctuation but dashes."""
     kept = F.regexp_replace(F.regexp_replace(c, r"\[.*?\]", ""), r"\(.*?\)", "")
-    return collapse(F.regexp_replace(kept, r"(?U)[^\w\s]", " "))
+    return collapse(F.regexp_replace(kept, r"(?U)[^\w\s-]", " "))
 
 
 def clean_code(c: Column, fallback: Column) -> Column:

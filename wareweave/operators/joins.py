@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wareweave.functions.money import prices_compatible
-from wareweave.functions.scores import adaptive_weights, dot, sign_hash, spec_similarity, text_score, tfidf_cosine, token_jaccard
-from wareweave.functions.text import normalize_name
+from wareweave.functions.scores import adaptive_weights, score_names, sign_hash
+from wareweave.functions.text import FILTER_WORDS, clean_name_match, contains_any
+from wareweave.operators.similar import jaccard_pairs, token_sets
 
 # Groups of categories that go together; a group's own name is no member.
 CATEGORY_GROUPS = {
@@ -21,9 +22,6 @@ CATEGORY_GROUPS = {
     "생활용품": ("주방", "욕실", "청소", "수납"),
 }
 
-#: Rows of a block where every query meets every vector.
-BLOCK_ROWS = 1000
-
 
 def price_band_join(left: DataFrame, right: DataFrame, price: str, other: str, on: list[str], low: float, high: float, most: float = 0.3) -> DataFrame:
     """Rows whose prices are compatible, as an equi-join on buckets of the log price.
@@ -63,68 +61,17 @@ def category_pairs(pairs: DataFrame, a: str, b: str, groups: dict[str, tuple[str
 
 
 def jaccard_join(names: DataFrame, name: str, least: float, most: int | None = None) -> DataFrame:
-    """(a, b, similarity), a < b: distinct names whose token sets overlap enough.
+    """(a, b, similarity), a < b: distinct names whose token sets overlap enough (operators/similar.py).
 
-    Prefix filter: with tokens in order of rarity, two sets of the wanted overlap share
-    one of their first n - ceil(least * n) + 1 tokens, so only rare tokens are joined on,
-    and only names whose sizes allow the overlap. The join carries names and sizes; the
-    token sets are fetched once for each pair that is left. With ``most``, only each a's
-    best pairs, by similarity.
+    With ``most``, only each a's best pairs, by similarity.
     """
-    one = names.select(F.col(name).alias("text")).dropna().distinct()
-    sets = one.withColumn("tokens", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")))
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = (
-        sets.select("text", F.explode("tokens").alias("token"))
-        .join(counts, "token")
-        .groupBy("text")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda s: s["token"]).alias("tokens"))
-    )
-    size = F.size("tokens")
-    prefix = F.slice("tokens", 1, (size - F.ceil(size * least) + 1).cast("int"))
-    keys = ranked.select("text", size.alias("n"), F.explode(prefix).alias("token"))
-    a = keys.select("token", F.col("text").alias("a"), F.col("n").alias("na"))
-    b = keys.select("token", F.col("text").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, "token").filter("a < b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * least)
-    pairs = met.select("a", "b").distinct()
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("text").alias(side), F.col("tokens").alias(f"t{side}")), side)
-    similarity = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    found = pairs.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+    found = jaccard_pairs(token_sets(names, name), None, least)
     if most is None:
         return found
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def cosine_pairs(vectors: DataFrame, queries: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, vec_id, cosine) of every query with every other vector.
-
-    Queries and vectors are dealt into blocks of about ``rows`` rows, and every block of
-    queries meets every block of vectors, so no task holds more than two blocks.
-    """
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    mine, theirs = -(-queries.count() // rows) or 1, -(-vectors.count() // rows) or 1
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), norm("embedding").alias("qn"))
-    q = q.withColumn("__ww_q", deal("query_id", mine)).withColumn("__ww_v", every(theirs))
-    v = vectors.select("vec_id", "embedding", norm("embedding").alias("vn"))
-    v = v.withColumn("__ww_v", deal("vec_id", theirs)).withColumn("__ww_q", every(mine))
-    pairs = q.join(v, ["__ww_q", "__ww_v"]).filter("query_id <> vec_id")
-    cosine = F.try_divide(dot(F.col("qv"), F.col("embedding")), F.col("qn") * F.col("vn"))
-    return pairs.select("query_id", "vec_id", cosine.alias("cosine"))
-
-
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest of all other vectors for each query: query_id, vec_id, cosine, rank.
-
-    Each part keeps its own k best of a query before they are merged.
-    """
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return cosine_pairs(vectors, queries, rows).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def hash_near(vectors: DataFrame, differing: int = 4, whole: int = 3) -> DataFrame:
     """(a, b, similarity): vectors whose 64-bit sign hashes differ in at most so many bits.
 
@@ -188,19 +135,19 @@ def with_placeholders(products: DataFrame, matches: DataFrame, channel: str) ->
     return mine.unionByName(none)
 
 
-def best_match(pairs: DataFrame, k: int = 5, least: float = 0.0, sure: float = 0.7) -> DataFrame:
+def best_match(pairs: DataFrame, k: int = 5, least: float = 0.0, sure: float = 0.7, by: tuple[str, ...] = ("product_id",)) -> DataFrame:
     """Of each product's k best pairs, the cheapest sure one, else the best score."""
-    top = topk(pairs, k, least)
+    top = topk(pairs, k, least, by)
     confident = F.col("combined") > sure
     price = F.when(F.coalesce(F.col("offer_price"), F.lit(0.0)) > 0, F.col("offer_price")).otherwise(F.lit(float("inf")))
-    order = Window.partitionBy("product_id").orderBy(
+    order = Window.partitionBy(*by).orderBy(
         (~confident).cast("int"), F.when(confident, price).otherwise(0.0), F.desc("combined"), "offer_id", "offer_price", "seller"
     )
     return top.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn", "rank")
 
 
-def topk(pairs: DataFrame, k: int = 5, least: float = 0.0) -> DataFrame:
-    order = Window.partitionBy("product_id").orderBy(F.desc("combined"), "offer_id", "offer_price", "seller")
+def topk(pairs: DataFrame, k: int = 5, least: float = 0.0, by: tuple[str, ...] = ("product_id",)) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy(F.desc("combined"), "offer_id", "offer_price", "seller")
     kept = pairs.filter(F.col("combined") >= least)
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -213,33 +160,38 @@ def cheapest(pairs: DataFrame, most: int, keep: Column, page: int = 100, pages:
     return kept.filter(F.col("rank") <= most)
 
 
-def match_path(products: DataFrame, candidates: DataFrame, edit, k: int = 5, least: float = 0.3, sure: float = 0.75) -> DataFrame:
+def match_path(
+    products: DataFrame,
+    candidates: DataFrame,
+    edit,
+    k: int = 5,
+    least: float = 0.75,
+    sure: float = 0.75,
+    least_text: float = 0.75,
+    least_image: float = 0.75,
+    groups: dict[str, tuple[str, ...]] | None = None,
+    drop_filter_words: bool = False,
+) -> DataFrame:
     """The best candidate of each product and channel, from names to the choice.
 
-    products: product_id, name, price. candidates: product_id, offer_id, channel, seller,
-    title, offer_price, image_sim (null without images). Pairs pass the price band, are
-    scored by their names, once for each distinct pair of them, weighed with the images'
-    score, cut to the k best and reduced to the cheapest sure one, else the best. ``edit``
-    makes the edit ratio's column of two name columns.
+    products: product_id, name, category, price. candidates: product_id, offer_id, channel,
+    seller, title, offer_category, offer_price, image_sim (null without both images). A
+    candidate is not the product itself and, if asked for, has no filter word in its title.
+    Pairs pass the categories, the price band, the least text score of their cleaned
+    names, found once for each distinct pair of them, and, with images, the least image score.
+    The scores are weighed; pairs of at least ``least`` are cut to the k best and reduced to
+    the cheapest that is ``sure``, else the best. ``edit`` makes the edit ratio's column of two name columns.
     """
-    paired = price_band_join(
-        products.select("product_id", "name", "price"), candidates, "price", "offer_price", ["product_id"], 0.0, 1e10
-    )
-    names = paired.select("name", "title").distinct()
-    names = names.withColumn("na", normalize_name(F.col("name"))).withColumn("nb", normalize_name(F.col("title")))
-    scored = names.select(
-        "name",
-        "title",
-        text_score(
-            edit("na", "nb"),
-            tfidf_cosine(F.col("na"), F.col("nb")),
-            token_jaccard(F.col("name"), F.col("title")),
-            spec_similarity(F.col("name"), F.col("title")),
-        ).alias("text_sim"),
-    )
+    others = candidates.filter(~F.coalesce(F.col("offer_id").cast("string") == F.col("product_id").cast("string"), F.lit(False)))
+    if drop_filter_words:
+        others = others.filter(~F.coalesce(contains_any(F.lower("title"), FILTER_WORDS), F.lit(False)))
+    paired = price_band_join(products.select("product_id", "name", "category", "price"), others, "price", "offer_price", ["product_id"], 0.0, 1e10)
+    paired = category_pairs(paired, "category", "offer_category", groups if groups is not None else CATEGORY_GROUPS)
+    scored = score_names(paired.select("name", "title").distinct(), "name", "title", edit, "text_sim", clean_name_match)
+    scored = scored.filter(F.col("text_sim") >= least_text)
+    seen = paired.filter(F.col("image_sim").isNull() | (F.col("image_sim") >= least_image))
     image = F.coalesce("image_sim", F.lit(0.0))
     weights = adaptive_weights(F.col("text_sim"), image, F.col("image_sim").isNotNull())
     combined = F.col("text_sim") * weights["w_text"] + image * weights["w_image"]
-    ready = paired.join(scored, ["name", "title"]).withColumn("combined", F.round(combined, 9))
-    best = [best_match(ready.filter(F.col("channel") == c), k, least, sure) for c in ("c2", "c3")]
-    return best[0].unionByName(best[1])
+    ready = seen.join(scored, ["name", "title"]).withColumn("combined", F.round(combined, 9))
+    return best_match(ready, k, least, sure, ("product_id", "channel"))

@@ -40,7 +40,7 @@ _project("clean_name_basic", r"trim(regexp_replace(regexp_replace(raw_name, '^\d
 _project("clean_name_keywords", f"{_SPACES.format(_NOISE)} AS clean", ("clean", lambda: text.clean_name(_col("raw_name"))))
 _project("search_key", _SPACES.format(r"translate(regexp_replace(regexp_replace(regexp_replace(raw_name, '^\d+-', ''), '^\d+\s*-\s*', ''), '\(\d+\)', '', 'g'), '/_', '  ')") + " AS search_key",
          ("search_key", lambda: text.search_key(_col("raw_name"))))
-_project("clean_name_match", _SPACES.format(r"regexp_replace(regexp_replace(regexp_replace(raw_name, '\[.*?\]', '', 'g'), '\(.*?\)', '', 'g'), '[^\w가-힣\s]', ' ', 'g')") + " AS clean",
+_project("clean_name_match", _SPACES.format(r"regexp_replace(regexp_replace(regexp_replace(raw_name, '\[.*?\]', '', 'g'), '\(.*?\)', '', 'g'), '[^\w가-힣\s-]', ' ', 'g')") + " AS clean",
          ("clean", lambda: text.clean_name_match(_col("raw_name"))))
 _project("clean_code", "CASE WHEN raw_code IS NULL OR raw_code = '' THEN '' ELSE coalesce(nullif(regexp_replace(trim(raw_code), '[^A-Za-z0-9-]', '', 'g'), ''), 'CODE-' || md5(raw_code || CAST(product_id AS STRING))) END AS code",
          ("code", lambda: text.clean_code(_col("raw_code"), F.concat(F.lit("CODE-"), F.md5(F.concat("raw_code", F.col("product_id").cast("string")).cast("binary"))))))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wareweave.functions import scores
-from wareweave.functions.text import normalize_name
 from wareweave.functions.urls import url_id
 from wareweave.operators import joins, rules
+from wareweave.operators import vectors as nearest
 from wareweave.plans.views import oracle, view
 from wareweave.session import table
 
@@ -59,12 +59,12 @@ _NEAREST = f"""SELECT query_id, vec_id, round(cosine, 4) AS cosine, CAST(rank AS
 
 def _nearest(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return joins.cosine_topk(vectors, vectors.filter("vec_id % 50 = 0"), 5).withColumn("cosine", F.round("cosine", 4))
+    return nearest.cosine_topk(vectors, vectors.filter("vec_id % 50 = 0"), 5).withColumn("cosine", F.round("cosine", 4))
 
 
 def _alike(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    found = joins.cosine_pairs(vectors, vectors.filter("vec_id % 50 = 0")).filter("cosine >= 0.3")
+    found = nearest.cosine_above(vectors, vectors.filter("vec_id % 50 = 0"), 0.3)
     return found.withColumn("cosine", F.round("cosine", 4))
 
 
@@ -118,25 +118,26 @@ def _text_score(df):
     """Scores of the distinct pairs of names, joined back to their products."""
     near = _neighbours(df)
     names = near.select("raw_name", "raw_b").distinct()
-    names = names.withColumn("na", normalize_name(F.col("raw_name"))).withColumn("nb", normalize_name(F.col("raw_b")))
-    score = scores.text_score(scores.edit_ratio("na", "nb"), scores.tfidf_cosine(F.col("na"), F.col("nb")), scores.token_jaccard(F.col("raw_name"), F.col("raw_b")), scores.spec_similarity(F.col("raw_name"), F.col("raw_b")))
-    return near.join(names.select("raw_name", "raw_b", score.alias("score")), ["raw_name", "raw_b"]).select("product_id", "score")
+    scored = scores.score_names(names, "raw_name", "raw_b", scores.edit_ratio, "score")
+    return near.join(scored, ["raw_name", "raw_b"]).select("product_id", "score")
 
 
 _over("text_score", "messy", _text_score, None)
+#: Which category a channel puts its offer in: none, the product's, or another one.
+_OFFER_CATEGORY = "CASE offer_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Standard ' WHEN 2 THEN lower(category) ELSE category END"
 #: How a channel titles what it offers.
-_TITLE = "CASE offer_id % 4 WHEN 0 THEN name WHEN 1 THEN concat('new ', name, ' 500ml') WHEN 2 THEN concat(brand, ' ', name) ELSE category END"
+_TITLE = "CASE offer_id % 4 WHEN 0 THEN name WHEN 1 THEN concat('new ', name, ' 500ml') WHEN 2 THEN concat(brand, ' ', name) ELSE concat(category, CASE WHEN offer_id % 7 = 0 THEN ' 홍보' WHEN offer_id % 7 = 1 THEN ' ' || name ELSE ' [x] (y)' END) END"
 
 
-def matched(spark, sf_dir):
+def matched(spark, sf_dir, edit=scores.edit_ratio, drop_filter_words=True):
     """The best offer of each product and channel, from names to the choice (joins.match_path)."""
     products = view(spark, sf_dir, "catalog")
     offers = view(spark, sf_dir, "offers").withColumnRenamed("price", "offer_price")
     image = F.when(F.col("offer_id") % 3 > 0, F.col("offer_id") % 97 / 96.0)
     candidates = offers.join(products.select("product_id", "name", "brand", "category"), "product_id").select(
-        "product_id", "offer_id", "channel", "seller", "qty", "offer_price", F.expr(_TITLE).alias("title"), image.alias("image_sim")
+        "product_id", "offer_id", "channel", "seller", "qty", "offer_price", F.expr(_TITLE).alias("title"), F.expr(_OFFER_CATEGORY).alias("offer_category"), image.alias("image_sim")
     )
-    return joins.match_path(products, candidates, scores.edit_ratio)
+    return joins.match_path(products, candidates, edit, least=0.3, least_text=0.3, least_image=0.1, groups=_GROUPS, drop_filter_words=drop_filter_words)
 
 
 def _matched_stage(spark, sf_dir):
@@ -145,6 +146,61 @@ def _matched_stage(spark, sf_dir):
     return rules.second_stage(joins.first_stage(view(spark, sf_dir, "catalog"), chosen))
 
 
+_EDITS = "(1.0E0 - levenshtein({0}, {1}) / CAST(greatest(length({0}), length({1})) AS DOUBLE))"
+
+
+def _matched_by_edits(spark, sf_dir):
+    """The match path with Levenshtein's distance for the edit ratio, which SQL has too."""
+    edits = lambda a, b: 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    found = matched(spark, sf_dir, edits)
+    return found.select("product_id", "channel", "offer_id", "title", F.round("combined", 6).alias("combined"), "offer_price")
+
+
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\[.*?\]', '', 'g'), '\(.*?\)', '', 'g'), '[^\w가-힣\s-]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\w가-힣\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_TERMS = "list_filter(string_split({0}, ' '), lambda w: length(w) > 1)"
+_COUNT = "CAST(len(list_filter({0}, lambda u: u = t)) AS DOUBLE)"
+_DOT_TERMS = f"coalesce(list_sum(list_transform(list_distinct(list_intersect(x, y)), lambda t: {_COUNT.format('x')} * {_COUNT.format('y')})), 0.0E0)"
+_NORM = f"list_sum(list_transform(list_distinct({{0}}), lambda t: pow({_COUNT.format('{0}')} * CASE WHEN list_contains({{1}}, t) THEN 1.0E0 ELSE 1 + ln(1.5E0) END, 2)))"
+_MATCH_STEPS = f"""c AS (
+  SELECT o.product_id, o.offer_id, o.channel, o.seller, o.price AS offer_price, p.price, p.name, p.category, {_TITLE} AS title,
+    {_OFFER_CATEGORY} AS offer_category, CASE WHEN offer_id % 3 > 0 THEN offer_id % 97 / 96.0E0 END AS image_sim
+  FROM offers o JOIN catalog p ON o.product_id = p.product_id
+), passed AS (
+  SELECT *, lower(trim(coalesce(category, ''))) AS ca, lower(trim(coalesce(offer_category, ''))) AS cb FROM c
+  WHERE offer_id <> product_id AND NOT contains(title, '홍보') AND (image_sim IS NULL OR image_sim >= 0.1E0)
+    AND (coalesce(price, 0) <= 0 OR coalesce(offer_price, 0) <= 0 OR abs(price - offer_price) / greatest(price, offer_price) <= 0.3E0)
+), fitting AS (
+  SELECT *, {_NORMAL.format(_CLEAN.format('name'))} AS na, {_NORMAL.format(_CLEAN.format('title'))} AS nb FROM passed
+  WHERE ca = '' OR cb = '' OR ca = cb OR (ca IN {_GROUPS['basic']} AND cb IN {_GROUPS['basic']}) OR (ca IN {_GROUPS['sized']} AND cb IN {_GROUPS['sized']})
+), words AS (
+  SELECT *, {_TERMS.format('na')} AS wa, {_TERMS.format('nb')} AS wb FROM fitting
+), terms AS (
+  SELECT *, list_concat(wa, list_transform(range(1, len(wa)), lambda i: wa[i] || ' ' || wa[i + 1])) AS x,
+    list_concat(wb, list_transform(range(1, len(wb)), lambda i: wb[i] || ' ' || wb[i + 1])) AS y FROM words
+), scored AS (
+  SELECT *, {_DOT_TERMS} AS product, {_NORM.format('x', 'y')} AS nx, {_NORM.format('y', 'x')} AS ny FROM terms
+), texts AS (
+  SELECT *, CASE WHEN na = '' OR nb = '' THEN 0.0E0 ELSE {_EDITS.format('na', 'nb')} * 0.3E0 + 0.7E0 * CASE WHEN len(x) = 0 AND len(y) = 0 THEN 0.5E0 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0E0
+    ELSE product / sqrt(nx * ny) END END AS text_sim FROM scored
+), weights AS (
+  SELECT *, greatest(0.7E0 * CASE WHEN text_sim > 0.9E0 THEN 1.2E0 WHEN text_sim < 0.3E0 THEN 0.8E0 ELSE 1.0E0 END * CASE WHEN image_sim > 0.9E0 THEN 0.8E0 WHEN image_sim < 0.3E0 THEN 1.2E0 ELSE 1.0E0 END, 0.3E0) AS wt,
+    greatest(0.3E0 * CASE WHEN text_sim > 0.9E0 THEN 0.8E0 WHEN text_sim < 0.3E0 THEN 1.2E0 ELSE 1.0E0 END * CASE WHEN image_sim > 0.9E0 THEN 1.2E0 WHEN image_sim < 0.3E0 THEN 0.8E0 ELSE 1.0E0 END, 0.2E0) AS wi
+  FROM texts WHERE text_sim >= 0.3E0
+), combined AS (
+  SELECT *, round(CASE WHEN image_sim IS NULL THEN text_sim ELSE text_sim * wt / (wt + wi) + image_sim * wi / (wt + wi) END, 9) AS combined FROM weights
+), tops AS (
+  SELECT *, row_number() OVER (PARTITION BY product_id, channel ORDER BY combined DESC, offer_id, offer_price, seller) AS rank FROM combined WHERE combined >= 0.3E0
+), chosen AS (
+  SELECT *, row_number() OVER (PARTITION BY product_id, channel ORDER BY CASE WHEN combined > 0.75E0 THEN 0 ELSE 1 END,
+    CASE WHEN combined > 0.75E0 THEN CASE WHEN offer_price > 0 THEN offer_price ELSE 1.0E300 END ELSE 0.0E0 END, combined DESC, offer_id, offer_price, seller) AS rn
+  FROM tops WHERE rank <= 5
+)
+SELECT product_id, channel, offer_id, title, round(combined, 6) AS combined, offer_price FROM chosen WHERE rn = 1"""
+QUERIES["match_path_by_edits"] = (
+    _matched_by_edits,
+    oracle("catalog", "").strip() + f", {oracle('offers', '').strip().removeprefix('WITH ')}, {_MATCH_STEPS}",
+)
 QUERIES["match_path"] = (lambda spark, sf_dir: matched(spark, sf_dir).select("product_id", "channel", "offer_id", "title", "combined", "offer_price"), None)
 QUERIES["matched_second_stage"] = (_matched_stage, None)
 _over("histogram_similarity", "messy", lambda df: df.select("product_id", scores.histogram_similarity(F.array(*[(F.col("product_id") % m) / float(m) for m in (3, 5, 7, 11)]), F.array(*[(F.col("size") % m) / float(m) for m in (3, 5, 7, 11)])).alias("similarity")),

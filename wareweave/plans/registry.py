@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wareweave.plans import cleaning, corpus, matching, rules, sheets, summaries
+from wareweave.plans import cleaning, corpus, matching, rules, sheets, similarity, summaries
 
-MODULES = (sheets, cleaning, rules, matching, summaries, corpus)
+MODULES = (sheets, cleaning, rules, matching, similarity, summaries, corpus)
 
 
 def queries() -> dict:

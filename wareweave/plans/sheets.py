@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from wareweave.operators.ordering import split_parts
 from wareweave.plans.views import oracle, view
+from wareweave.session import new_folder
 from wareweave.sources import sheets
 
 QUERIES: dict = {}
@@ -18,21 +16,9 @@ def _over(name: str, source: str, run, sql: str) -> None:
     QUERIES[name] = (lambda spark, sf_dir: run(view(spark, sf_dir, source)), oracle(source, sql))
 
 
-def shared_folder(spark) -> str:
-    """A new folder under the session's shared folder.
-
-    Only a local session gets a temporary one; a cluster without a shared folder is an error.
-    """
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not base and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='spark-sink-')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _scan(df):
     """The sheet as an older export, in CP949, read back."""
-    path = shared_folder(df.sparkSession)
+    path = new_folder(df.sparkSession)
     sheets.write_csv(df.select("product_id", "raw_price", "raw_qty"), path, "CP949")
     return sheets.read_csv(df.sparkSession, path, "product_id long, raw_price string, raw_qty string")
 
@@ -63,7 +49,7 @@ _over("json_items", "messy", _items,
 _over("product_json_roundtrip", "messy",
       lambda df: sheets.from_record(sheets.to_record(df.select(F.col("product_id").cast("string").alias("id"), F.when(F.col("product_id") % 10 != 0, F.col("name")).alias("name"), F.lit("sheet").alias("source"), "price", F.when(F.col("product_id") % 3 == 0, "").otherwise(F.col("brand")).alias("brand"), "category"))),
       "SELECT CAST(product_id AS STRING) AS id, name, 'sheet' AS source, price, CASE WHEN product_id % 3 <> 0 THEN brand END AS brand, category FROM messy WHERE product_id % 10 <> 0")
-_over("sink_roundtrip", "offers", lambda df: sheets.write_table(df.select("offer_id", "product_id", "price", "channel"), shared_folder(df.sparkSession), by="channel").select("offer_id", "product_id", "price", F.col("channel").cast("string").alias("channel")),
+_over("sink_roundtrip", "offers", lambda df: sheets.write_table(df.select("offer_id", "product_id", "price", "channel"), new_folder(df.sparkSession), by="channel").select("offer_id", "product_id", "price", F.col("channel").cast("string").alias("channel")),
       "SELECT offer_id, product_id, price, channel FROM offers")
 _over("split_parts", "messy", lambda df: split_parts(df.select("product_id", "division"), "product_id", division="division"),
       "SELECT product_id, division, part, part_size, CASE WHEN (SELECT arg_min(division, product_id) FROM messy) = 'P' THEN '가격관리' ELSE '승인관리' END || CAST(part AS STRING) || '(' || CAST(part_size AS STRING) || ')' AS label FROM (SELECT *, count(*) OVER (PARTITION BY part) AS part_size FROM (SELECT product_id, division, CAST((row_number() OVER (ORDER BY product_id) - 1) // 300 + 1 AS BIGINT) AS part FROM messy))")
@@ -71,7 +57,7 @@ _over("split_parts", "messy", lambda df: split_parts(df.select("product_id", "di
 
 def _merged(df):
     """Parts written below one folder, one of them empty and one without the brand, read as one table."""
-    folder = shared_folder(df.sparkSession)
+    folder = new_folder(df.sparkSession)
     parts = split_parts(df.select("product_id", "name", "brand"), "product_id")
     sheets.write_table(parts.filter("part % 2 = 0"), f"{folder}/even", by="part")
     sheets.write_table(parts.filter("part % 2 = 1").drop("brand"), f"{folder}/odd")
