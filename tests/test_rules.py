@@ -152,9 +152,18 @@ def test_best_pairs_of_names(spark):
 def test_match_path_by_plain_python(spark):
     products = {r["product_id"]: r for r in view(spark, SF, "catalog").collect()}
     offers = view(spark, SF, "offers").withColumnRenamed("price", "offer_price").collect()
-    title = lambda o, p: (p["name"], f"new {p['name']} 500ml", f"{p['brand']} {p['name']}", p["category"])[o["offer_id"] % 4]
+    tail = lambda o, p: (" 홍보", f" {p['name']}")[o["offer_id"] % 7] if o["offer_id"] % 7 < 2 else " [x] (y)"
+    title = lambda o, p: (p["name"], f"new {p['name']} 500ml", f"{p['brand']} {p['name']}", p["category"] + tail(o, p))[o["offer_id"] % 4]
+    shelf = lambda o, p: (None, "Standard ", p["category"].lower(), p["category"], p["category"])[o["offer_id"] % 5]
+    groups_of = matching._GROUPS.values()
+
+    def together(x, y):
+        x, y = (x or "").strip().lower(), (y or "").strip().lower()
+        return not x or not y or x == y or any(x in g and y in g for g in groups_of)
+
     pairs = sorted({(p["name"], title(o, p)) for o in offers for p in [products[o["product_id"]]]})
-    df = spark.createDataFrame(pairs, "a string, b string").withColumn("na", text.normalize_name(F.col("a"))).withColumn("nb", text.normalize_name(F.col("b")))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    df = df.withColumns({f"n{x}": text.normalize_name(text.clean_name_match(F.col(x))) for x in "ab"})
     parts = df.select("a", "b", scores.edit_ratio("na", "nb").alias("e"), scores.tfidf_cosine(F.col("na"), F.col("nb")).alias("t")).collect()
     sim = {(r["a"], r["b"]): 0.3 * r["e"] + 0.7 * r["t"] for r in parts}
 
@@ -172,8 +181,12 @@ def test_match_path_by_plain_python(spark):
         a, b = p["price"] or 0, o["offer_price"] or 0
         if a > 0 and b > 0 and abs(a - b) / max(a, b) > 0.3:
             continue
+        if o["offer_id"] == p["product_id"] or not together(p["category"], shelf(o, p)) or "홍보" in title(o, p):
+            continue
         images = o["offer_id"] % 3 > 0
         t, i = sim[p["name"], title(o, p)], o["offer_id"] % 97 / 96 if images else 0.0
+        if t < 0.3 or images and i < 0.1:
+            continue
         wt, wi = weights(t, i, images)
         combined = round(t * wt + i * wi, 9)
         if combined >= 0.3:
@@ -189,6 +202,39 @@ def test_match_path_by_plain_python(spark):
         assert r["combined"] == pytest.approx(-want[key][0], abs=1e-6) and math.isclose(r["offer_price"], want[key][2])
 
 
+@pytest.mark.parametrize(
+    ("change", "found"),
+    [
+        ({}, True),
+        ({"offer_category": "food"}, False),  # another category
+        ({"offer_category": None}, True),
+        ({"title": "blue steel pot"}, False),  # text below its least
+        ({"image_sim": 0.74}, False),  # image below its least
+        ({"image_sim": 0.75}, True),
+        ({"image_sim": None}, True),
+        ({"offer_id": 1}, False),  # the product itself
+        ({"title": "red cup 기념품"}, False),  # a filter word
+        ({"title": "[new] red (big) cup"}, True),  # cleaned away
+        ({"title": "--- ///"}, False),  # nothing left of the name
+        ({"offer_price": 131.0}, True),
+        ({"offer_price": 150.0}, False),
+        ({"offer_price": None}, True),
+    ],
+)
+def test_match_path_rules(spark, change, found):
+    base = {"product_id": 1, "offer_id": 7, "channel": "c2", "seller": "s", "title": "Red cup", "offer_category": " Kitchen", "offer_price": 100.0, "image_sim": 0.9} | change
+    schema = "product_id long, offer_id long, channel string, seller string, title string, offer_category string, offer_price double, image_sim double"
+    products = spark.createDataFrame([(1, "red cup", "kitchen", 100.0)], "product_id long, name string, category string, price double")
+    candidates = spark.createDataFrame([tuple(base[c.split()[0]] for c in schema.split(", "))], schema)
+    assert joins.match_path(products, candidates, scores.edit_ratio, drop_filter_words=True).count() == found
+
+
+def test_names_without_words_score_nothing(spark):
+    df = spark.createDataFrame([("---", "///"), ("", "cup"), (None, "cup"), ("cup", "cup")], "a string, b string")
+    got = [r["s"] for r in scores.score_names(df, "a", "b", scores.edit_ratio, "s").collect()]
+    assert got == [0.0, 0.0, 0.0, pytest.approx(1.0)]
+
+
 def test_exchanges_of_headline_queries(spark):
     count = lambda name: registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert count("first_stage") <= 3 and count("lowest_offer") <= 3 and count("price_summary") <= 4

@@ -5,27 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wareweave.session import checkpoint
 
-def numbered(df: DataFrame, seq: str, blocks: int = 256, name: str = "i") -> DataFrame:
-    """Add the position, from 1, in the order of the numeric column seq.
 
-    Rows are numbered inside ranges of seq that hold about equally many rows, whatever
-    its values are: the ranges' bounds are quantiles, at most ``blocks`` numbers. A range's
-    start is the count of the ranges before it, of which there is one row each.
+#: Rows of a range that one task sorts.
+RANGE_ROWS = 1_000_000
+#: monotonically_increasing_id() holds the task above these bits and the row below.
+ROW_BITS = 33
+
+
+def numbered(df: DataFrame, seq: str, rows: int = RANGE_ROWS, name: str = "i") -> DataFrame:
+    """Add the position, from 1, in the order of the column seq; nulls come first.
+
+    Rows are dealt by ranges of about ``rows`` rows, as many as the table's count asks for,
+    and sorted inside; a range's start is the count of the ranges before it, of which there is one row each.
+    Ties of seq go by all columns and then by the row's place in the input, which also
+    split a value that very many rows share.
     """
-    shares = [i / blocks for i in range(1, blocks)]
-    bounds = df.agg(F.percentile_approx(seq, shares).alias("b")).first()["b"] or []
-    above = F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(seq)) if bounds else F.array()
-    parts = df.withColumn("__ww_block", F.when(F.col(seq).isNull(), -1).otherwise(F.size(above)))
-    before = Window.orderBy("__ww_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.groupBy("__ww_block").agg(F.count(F.lit(1)).alias("n"))
-    starts = starts.select("__ww_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ww_start"))
-    inside = F.row_number().over(Window.partitionBy("__ww_block").orderBy(seq))
+    ranges = max(1, -(-df.count() // rows))
+    ties = [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.col("__ww_place")]
+    placed = df.withColumn("__ww_place", F.monotonically_increasing_id())
+    order = [F.asc_nulls_first(seq), *ties]
+    dealt = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop("__ww_place")
+    kept = checkpoint(dealt.withColumn("__ww_at", F.monotonically_increasing_id()))
+    part = F.shiftright("__ww_at", ROW_BITS)
+    before = Window.orderBy("__ww_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy(part.alias("__ww_part")).agg(F.count(F.lit(1)).alias("n"), F.min("__ww_at").alias("__ww_first"))
+    starts = starts.select("__ww_part", "__ww_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ww_start"))
     return (
-        parts.withColumn("__ww_i", inside)
-        .join(F.broadcast(starts), "__ww_block")  # one row a block
-        .withColumn(name, F.col("__ww_start") + F.col("__ww_i"))
-        .drop("__ww_block", "__ww_start", "__ww_i")
+        kept.withColumn("__ww_part", part)
+        .join(F.broadcast(starts), "__ww_part")  # one row for each million
+        .withColumn(name, F.col("__ww_start") + F.col("__ww_at") - F.col("__ww_first") + 1)
+        .drop("__ww_part", "__ww_at", "__ww_first", "__ww_start")
     )
 
 

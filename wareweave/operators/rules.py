@@ -111,3 +111,32 @@ def keep_first(df: DataFrame, key: str, seq: str) -> DataFrame:
     """The first row of each key by seq; ties by nothing else, so seq should be unique."""
     order = Window.partitionBy(key).orderBy(seq)
     return df.withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
+
+
+# Columns of the first-stage sheet and their names in the upload sheet, in its order.
+UPLOAD_NAMES = {
+    "구분": "구분(A/P)", "담당자": "담당자", "업체명": "공급사명", "업체코드": "공급처코드", "상품Code": "상품코드",
+    "중분류카테고리": "카테고리(중분류)", "상품명": "상품명", "기본수량(1)": "본사 기본수량", "판매단가(V포함)": "판매단가1(VAT포함)", "본사상품링크": "본사링크",
+    "기본수량(2)": "고려 기본수량", "판매단가(V포함)(2)": "판매단가2(VAT포함)", "가격차이(2)": "고려 가격차이", "가격차이(2)%": "고려 가격차이(%)", "고려기프트 상품링크": "고려 링크",
+    "기본수량(3)": "네이버 기본수량", "판매단가(V포함)(3)": "판매단가3(VAT포함)", "가격차이(3)": "네이버 가격차이", "가격차이(3)%": "네이버가격차이(%)",
+    "공급사명": "네이버 공급사명", "네이버 쇼핑 링크": "네이버 링크",
+    "본사 이미지": "본사(이미지링크)", "고려기프트 이미지": "고려기프트(이미지링크)", "네이버 이미지": "네이버쇼핑(이미지링크)",
+}
+IMAGE_COLUMNS = ("본사 이미지", "고려기프트 이미지", "네이버 이미지")
+
+
+def upload_sheet(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """The upload sheet of a first-stage sheet: the columns that it has, renamed, in the upload's order.
+
+    Image cells that are formulas become their address; 'nan' and 'None' in them vanish. A house
+    that heads its own images by another name passes its own ``names``.
+    """
+    names = names or UPLOAD_NAMES
+
+    def cell(c: str) -> Column:
+        if c not in IMAGE_COLUMNS:
+            return F.col(f"`{c}`")
+        link = F.regexp_replace(F.col(f"`{c}`").cast("string"), r'=IMAGE\("(.+)",\s*\d+\)', "$1")
+        return F.regexp_replace(F.coalesce(link, F.lit("")), "nan|None", "")
+
+    return df.select(*[cell(c).alias(n) for c, n in names.items() if c in df.columns])

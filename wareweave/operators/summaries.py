@@ -18,6 +18,14 @@ def price_map(tiers: DataFrame, key: str, order: list[str]) -> DataFrame:
     return one.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("qty", "unit_price")))).alias("tiers"))
 
 
+def full_price_map(tiers: DataFrame, products: DataFrame, key: str, price: str, order: list[str]) -> DataFrame:
+    """key, tiers for every product; one without tiers has its own price for a quantity of 1, or nothing if it has none above 0."""
+    known = products.select(key, price).join(price_map(tiers, key, order), key, "left")
+    one = F.when(F.col(price) > 0, F.create_map(F.lit(1), F.col(price)))
+    empty = F.create_map().cast("map<int,double>")
+    return known.select(key, F.coalesce("tiers", one, empty).alias("tiers"))
+
+
 def tier_coverage(tiers: DataFrame, key: str, expected: list[int]) -> DataFrame:
     """Share of the expected quantities that a product offers, those missing, those extra."""
     want = F.array(*map(F.lit, expected))

@@ -174,7 +174,7 @@ _MATCH_STEPS = f"""c AS (
   SELECT *, {_NORMAL.format(_CLEAN.format('name'))} AS na, {_NORMAL.format(_CLEAN.format('title'))} AS nb FROM passed
   WHERE ca = '' OR cb = '' OR ca = cb OR (ca IN {_GROUPS['basic']} AND cb IN {_GROUPS['basic']}) OR (ca IN {_GROUPS['sized']} AND cb IN {_GROUPS['sized']})
 ), words AS (
-  SELECT *, {_TERMS.format('na')} AS wa, {_TERMS.format('nb')} AS wb FROM fitting
+  SELECT *, {_TERMS.format('na')} AS wa, {_TERMS.format('nb')} AS wb FROM (SELECT DISTINCT name, title, na, nb FROM fitting)
 ), terms AS (
   SELECT *, list_concat(wa, list_transform(range(1, len(wa)), lambda i: wa[i] || ' ' || wa[i + 1])) AS x,
     list_concat(wb, list_transform(range(1, len(wb)), lambda i: wb[i] || ' ' || wb[i + 1])) AS y FROM words
@@ -186,7 +186,7 @@ _MATCH_STEPS = f"""c AS (
 ), weights AS (
   SELECT *, greatest(0.7E0 * CASE WHEN text_sim > 0.9E0 THEN 1.2E0 WHEN text_sim < 0.3E0 THEN 0.8E0 ELSE 1.0E0 END * CASE WHEN image_sim > 0.9E0 THEN 0.8E0 WHEN image_sim < 0.3E0 THEN 1.2E0 ELSE 1.0E0 END, 0.3E0) AS wt,
     greatest(0.3E0 * CASE WHEN text_sim > 0.9E0 THEN 0.8E0 WHEN text_sim < 0.3E0 THEN 1.2E0 ELSE 1.0E0 END * CASE WHEN image_sim > 0.9E0 THEN 1.2E0 WHEN image_sim < 0.3E0 THEN 0.8E0 ELSE 1.0E0 END, 0.2E0) AS wi
-  FROM texts WHERE text_sim >= 0.3E0
+  FROM fitting JOIN (SELECT name, title, text_sim FROM texts) USING (name, title) WHERE text_sim >= 0.3E0
 ), combined AS (
   SELECT *, round(CASE WHEN image_sim IS NULL THEN text_sim ELSE text_sim * wt / (wt + wi) + image_sim * wi / (wt + wi) END, 9) AS combined FROM weights
 ), tops AS (

@@ -69,3 +69,20 @@ _over("enrich_status", "first_stage",
       lambda df: df.withColumn("name", F.expr(_NAME)).withColumn("price_2", F.when(F.col("diff_2") < -500, F.col("price_2")))
       .select("product_id", rules.enrich_status(F.col("name"), F.col("price_2"), F.lit("OK"), F.col("product_id") % 10 / 10.0).alias("status"), F.when(F.trim("name") != "", F.col("price_2")).alias("price_2")),
       f"SELECT product_id, CASE WHEN product_id % 11 = 0 THEN '{rules.NO_NAME}' WHEN NOT coalesce(diff_2 < -500, false) THEN '{rules.NO_PRODUCT}' WHEN product_id % 10 < 6 THEN '{rules.LOW_TEXT}' ELSE 'OK' END AS status, CASE WHEN product_id % 11 <> 0 AND diff_2 < -500 THEN price_2 END AS price_2 FROM first_stage")
+
+
+def _upload(df):
+    """A first-stage sheet under its own headers, some columns missing, as the upload sheet."""
+    formula = lambda ext: F.format_string('=IMAGE("https://img.example.com/%d.' + ext + '", 2)', "product_id")
+    image = F.when(F.col("product_id") % 3 == 0, formula("jpg")).when(F.col("product_id") % 3 == 1, "nan").otherwise("https://img.example.com/x.png")
+    return rules.upload_sheet(
+        df.select(
+            image.alias("본사 이미지"), F.col("price_3").alias("판매단가(V포함)(3)"), F.col("product_id").alias("상품Code"), F.col("name").alias("상품명"), F.col("seller_3").alias("공급사명"),
+            F.col("price").alias("판매단가(V포함)"), F.col("diff_2").alias("가격차이(2)"), F.col("pct_2").alias("가격차이(2)%"), F.lit("memo").alias("memo"),
+        )
+    )
+
+
+_over("upload_sheet", "first_stage", _upload,
+      """SELECT product_id AS "상품코드", name AS "상품명", price AS "판매단가1(VAT포함)", diff_2 AS "고려 가격차이", pct_2 AS "고려 가격차이(%)", price_3 AS "판매단가3(VAT포함)", seller_3 AS "네이버 공급사명",
+      CASE product_id % 3 WHEN 0 THEN 'https://img.example.com/' || CAST(product_id AS STRING) || '.jpg' WHEN 1 THEN '' ELSE 'https://img.example.com/x.png' END AS "본사(이미지링크)" FROM first_stage""")

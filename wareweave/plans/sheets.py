@@ -72,3 +72,75 @@ _over("resume_at", "first_stage", lambda df: sheets.resume_at(df.select("product
 _over("resume_pending", "first_stage", lambda df: sheets.pending(df.select("product_id", "name"), df.filter((F.col("diff_2") < 0) & (F.col("diff_3") < 0)), "product_id"),
       "SELECT product_id, name FROM first_stage WHERE NOT coalesce(diff_2 < 0 AND diff_3 < 0, false)")
 _over("limit_preview", "messy", lambda df: df.select("product_id", "name", "price").orderBy("product_id").limit(10), "SELECT product_id, name, price FROM messy ORDER BY product_id LIMIT 10")
+
+
+def _encodings(df):
+    """A folder with sheets in UTF-8 and in CP949, each read in its own encoding; rows that do not fit are kept as text."""
+    path = new_folder(df.sparkSession)
+    rows = df.select(F.when(F.col("product_id") % 10 == 9, F.lit("x")).otherwise(F.col("product_id").cast("string")).alias("product_id"), "raw_price", "raw_qty")
+    sheets.write_csv(rows.filter(df["product_id"] % 2 == 0), f"{path}/new")
+    sheets.write_csv(rows.filter(df["product_id"] % 2 == 1), f"{path}/old", "CP949")
+    found = sheets.read_csv(df.sparkSession, f"{path}/*", "product_id long, raw_price string, raw_qty string", corrupt="unread")
+    return found.select("product_id", "raw_price", "raw_qty", F.col("unread").isNotNull().alias("unread"))
+
+
+_over("scan_encodings", "messy", _encodings,
+      """SELECT CASE WHEN product_id % 10 <> 9 THEN product_id END AS product_id, CASE WHEN raw_price NOT IN ('#REF!', '') THEN raw_price END AS raw_price, raw_qty,
+      product_id % 10 = 9 AS unread FROM messy""")
+
+
+def _sheets(df):
+    """Three sheets of other headers, types and columns as one table."""
+    part = lambda k, *columns: df.filter(F.col("product_id") % 3 == k).select("product_id", *columns)
+    three = {
+        "spring": part(0, F.col("name").alias("제품명"), F.col("price").alias("가격"), F.col("size").alias("수량")),
+        "summer": part(1, F.col("name").alias("품명 (EA) "), F.col("size").alias("PRICE"), F.col("brand").alias("memo")),
+        "autumn": part(2, F.col("name").alias("상품명"), F.col("raw_code").alias("sku"), F.col("raw_url").alias("product URL"), F.col("size").alias("Memo")),
+    }
+    found = sheets.harmonize_sheets(three, "product_id")
+    return found.select("product_id", "source", F.col("상품명").alias("name"), F.col("판매단가(V포함)").alias("price"), F.col("상품Code").alias("code"), F.col("본사상품링크").alias("link"), "memo")
+
+
+_over("harmonize_sheets", "messy", _sheets,
+      """SELECT product_id, ['spring', 'summer', 'autumn'][1 + product_id % 3] AS source, name, CASE product_id % 3 WHEN 0 THEN price WHEN 1 THEN CAST(size AS DOUBLE) ELSE 0.0E0 END AS price,
+      CASE WHEN product_id % 3 = 2 THEN raw_code ELSE 'GEN-' || CAST(product_id AS STRING) END AS code, CASE WHEN product_id % 3 = 2 THEN raw_url ELSE '' END AS link,
+      CASE product_id % 3 WHEN 1 THEN brand WHEN 2 THEN CAST(size AS STRING) END AS memo FROM messy""")
+
+
+def _part_files(df):
+    """Parts written as files and counted from the files."""
+    path = new_folder(df.sparkSession)
+    parts = split_parts(df.select("product_id", "name", "division"), "product_id", division="division")
+    sheets.write_parts(parts.select("product_id", "name", "part", "label"), path, "label", "product_id")
+    return sheets.list_parts(df.sparkSession, path, "label", "product_id long, name string, part long")
+
+
+_over("part_files", "messy", _part_files,
+      """SELECT CASE WHEN (SELECT arg_min(division, product_id) FROM messy) = 'P' THEN '가격관리' ELSE '승인관리' END || CAST(part AS STRING) || '(' || CAST(count(*) AS STRING) || ')' AS label, 1 AS files, count(*) AS rows
+      FROM (SELECT (row_number() OVER (ORDER BY product_id) - 1) // 300 + 1 AS part FROM messy) GROUP BY part""")
+
+
+def _runs(df):
+    """Two runs: the first broke off half-way and is run again, the second is sent twice."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
+    rows = df.select("product_id", "name", "price_2")
+    first, second, third = (rows.filter(F.col("product_id") % 3 == k) for k in range(3))
+    broken = first.filter(F.col("product_id") % 2 == 0).withColumn(sheets.RUN, F.lit("a"))
+    broken.write.partitionBy(sheets.RUN).parquet(f"{path}/rows")  # no row in the done-log
+    for run_id, part in (("a", first), ("b", second), ("b", second)):
+        sheets.append_run(part, path, run_id)
+    third.withColumn(sheets.RUN, F.lit("c")).write.mode("append").partitionBy(sheets.RUN).parquet(f"{path}/rows")  # breaks off for good
+    return sheets.read_runs(spark, path, rows.schema)
+
+
+_over("append_runs", "first_stage", _runs, "SELECT product_id, name, price_2, CASE product_id % 3 WHEN 0 THEN 'a' ELSE 'b' END AS run_id FROM first_stage WHERE product_id % 3 < 2")
+
+
+def _tier_files(df):
+    path = new_folder(df.sparkSession)
+    tiers = df.groupBy("channel", "qty").agg(F.min("price").alias("unit_price"))
+    sheets.write_tiers(tiers, path, "channel")
+    return sheets.read_tiers(df.sparkSession, path, "channel")
+
+
+_over("tier_files", "offers", _tier_files, "SELECT channel, qty, min(price) AS unit_price FROM offers GROUP BY channel, qty")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wareweave.operators.summaries import mean, price_map, tier_coverage
+from wareweave.operators.summaries import full_price_map, mean, price_map, tier_coverage
 from wareweave.plans.views import oracle, view
 from wareweave.session import table
 
@@ -56,3 +56,26 @@ _over("tier_coverage", "offers", lambda df: tier_coverage(_tiers(df), "product_i
 _over("all_matches_union", "pairs", lambda df: df.filter("channel = 'c2'").unionByName(df.filter("channel = 'c3'")).select("offer_id", "product_id", "channel"), "SELECT offer_id, product_id, channel FROM pairs WHERE channel = 'c2' UNION ALL SELECT offer_id, product_id, channel FROM pairs WHERE channel = 'c3'")
 _over("merge_unique", "messy", lambda df: df.select("product_id", F.array_join(F.array_distinct(F.filter(F.flatten(F.array(F.array("name", "raw_url", "brand"), F.array("brand", "name", "category"))), lambda u: F.trim(u) != "")), ",").alias("merged")),
       "SELECT product_id, name || CASE WHEN trim(raw_url) <> '' THEN ',' || raw_url ELSE '' END || ',' || brand || ',' || category AS merged FROM messy")
+
+
+def _all_tiers(spark, sf_dir):
+    """Every product's tiers of less than five pieces, as text; its own price where it has none."""
+    products = view(spark, sf_dir, "catalog").withColumn("price", F.when(F.col("product_id") % 17 > 0, F.col("price")))
+    found = full_price_map(_tiers(view(spark, sf_dir, "offers").filter("qty < 2")), products, "product_id", "price", ["offer_id", "unit_price", "supplier_id"])
+    text = F.transform(F.map_entries("tiers"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.round(e["value"], 2).cast("decimal(18,2)").cast("string")))
+    return found.select("product_id", F.array_join(text, ",").alias("tiers"))
+
+
+QUERIES["quantity_price_map_all"] = (
+    _all_tiers,
+    f"""{oracle('catalog', '').strip()}, {oracle('offers', '').strip().removeprefix('WITH ')},
+    t AS (SELECT product_id, string_agg(CAST(qty AS VARCHAR) || '=' || CAST(CAST(round(price, 2) AS DECIMAL(18,2)) AS VARCHAR), ',' ORDER BY qty) AS tiers FROM (
+      SELECT *, row_number() OVER (PARTITION BY product_id, qty ORDER BY offer_id DESC, price DESC, supplier_id DESC) AS rn FROM offers WHERE qty < 2) WHERE rn = 1 GROUP BY product_id)
+    SELECT product_id, coalesce(tiers, CASE WHEN product_id % 17 > 0 AND price > 0 THEN '1=' || CAST(CAST(round(price, 2) AS DECIMAL(18,2)) AS VARCHAR) ELSE '' END) AS tiers FROM catalog LEFT JOIN t USING (product_id)""",
+)
+_over("nested_matches_json", "pairs",
+      lambda df: df.groupBy("product_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("channel") == c, F.struct("offer_id", F.col("qty").alias("qty"))))).alias(c) for c in ("c2", "c3")])
+      .select("product_id", F.to_json(F.struct("c2", "c3", F.concat("c2", "c3").alias("all"))).alias("matches")),
+      """SELECT product_id, '{"c2":[' || coalesce(a, '') || '],"c3":[' || coalesce(b, '') || '],"all":[' || concat_ws(',', a, b) || ']}' AS matches FROM (
+      SELECT product_id, string_agg(j, ',' ORDER BY offer_id, qty) FILTER (channel = 'c2') AS a, string_agg(j, ',' ORDER BY offer_id, qty) FILTER (channel = 'c3') AS b
+      FROM (SELECT *, '{"offer_id":' || CAST(offer_id AS VARCHAR) || ',"qty":' || CAST(qty AS VARCHAR) || '}' AS j FROM pairs) GROUP BY product_id)""")

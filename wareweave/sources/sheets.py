@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import and_
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,24 +29,57 @@ ALTERNATIVES = {
     "본사 이미지": ("이미지", "이미지링크", "이미지 URL", "상품이미지", "image", "image url", "이미지주소", "본사이미지", "이미지 링크"),
     "본사상품링크": ("상품링크", "제품링크", "링크", "url", "product url", "상품 URL", "본사 상품링크", "본사링크", "제품 링크"),
 }
+#: Headers of a price table.
+TIER_HEADERS = ("수량", "일반")
 PRODUCT = "struct<id:string,name:string,source:string,price:double,brand:string,category:string>"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str | None = None) -> DataFrame:
-    """A sheet exported as CSV; error cells are null.
+def java_charset(encoding: str) -> str:
+    """Java's name of an encoding; its own CP949 lacks most syllables that Windows' has."""
+    return "MS949" if encoding.upper() in ("CP949", "UHC", "MS949") else encoding
 
-    Without an encoding it is UTF-8, or CP949 where the file holds bytes that are no UTF-8.
-    Spark reads other than the standard encodings only with its setting for Java charsets,
-    which is switched on for the session then.
+
+def files_not_utf8(spark: SparkSession, path: str) -> list[str]:
+    """The files of a folder that hold bytes that are no UTF-8; their names only come back."""
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).select(F.col("_metadata.file_path").alias("f"))
+    return sorted(r["f"] for r in broken.distinct().collect())
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str | None = None, corrupt: str | None = None) -> DataFrame:
+    """Sheets exported as CSV, each file in its own encoding; error cells are null.
+
+    Without an encoding a file is UTF-8, or CP949 if it holds bytes that are no UTF-8, which
+    takes a pass over the bytes. Files of both kinds become one table: by name, and where one
+    lacks a column by null. With a schema, ``corrupt`` names a column that keeps
+    the text of rows that do not fit it. Spark reads other than the standard
+    encodings only with its setting for Java charsets, which is switched on for the session then.
     """
-    if encoding is None:
-        broken = spark.read.text(path).filter(~F.is_valid_utf8("value"))
-        encoding = "UTF-8" if broken.isEmpty() else "CP949"
-    reader = spark.read.option("header", True)
-    if encoding.upper() != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    reader = reader.option("encoding", encoding)
-    return null_errors((reader.schema(schema) if schema else reader).csv(path))
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if corrupt and schema is None:
+        raise ValueError("a column for corrupt rows needs a schema")
+    own = schema
+
+    def reader(charset: str):
+        if charset.upper() not in ("UTF-8", "UTF8"):
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        found = spark.read.option("header", True).option("encoding", java_charset(charset))
+        if corrupt:
+            found = found.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
+        return found.schema(T.StructType([*own.fields, T.StructField(corrupt, T.StringType())]) if corrupt else own) if own else found
+
+    if encoding is not None:
+        return null_errors(reader(encoding).csv(path))
+    older = files_not_utf8(spark, path)
+    if not older:
+        return null_errors(reader("UTF-8").csv(path))
+    rest = reader("UTF-8").csv(path).filter(~F.col("_metadata.file_path").isin(older))
+    return null_errors(rest.unionByName(reader("CP949").csv([_as_path(f) for f in older]), allowMissingColumns=True))
+
+
+def _as_path(url: str) -> str:
+    """A file's name as Spark's readers take it: percent signs of the URL resolved."""
+    return unquote(url)
 
 
 def null_errors(df: DataFrame) -> DataFrame:
@@ -85,6 +119,37 @@ def harmonize(df: DataFrame, key: str, source: str) -> DataFrame:
     return df.withColumns(added)
 
 
+def _common_type(kinds: set[str]) -> str:
+    """The type that holds all values of the given ones: equal, the wider number, else text."""
+    order = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    if len(kinds) == 1:
+        return kinds.pop()
+    if kinds <= set(order):
+        return "double" if kinds & {"float", "double"} else max(kinds, key=order.index)
+    return "string"
+
+
+def harmonize_sheets(sheets: dict[str, DataFrame], key: str) -> DataFrame:
+    """Several sheets of their own headers as one table: canonical columns, own ones, and ``source``.
+
+    Every sheet is harmonised; a column whose type differs between sheets gets one that
+    holds all values; columns that a sheet lacks are null in it. Names that differ in case or
+    outer blanks only are one column.
+    """
+    ready = {}
+    for name, df in sheets.items():
+        df = df.toDF(*[c.strip() for c in df.columns])
+        ready[name] = harmonize(df, key, name)
+    spelt: dict[str, str] = {}
+    kinds: dict[str, set[str]] = {}
+    for df in ready.values():
+        for c, kind in df.dtypes:
+            kinds.setdefault(spelt.setdefault(c.lower(), c), set()).add(kind)
+    wanted = {c: _common_type(set(k)) for c, k in kinds.items()}
+    alike = lambda df: df.select(*[F.col(f"`{c}`").cast(wanted[spelt[c.lower()]]).alias(spelt[c.lower()]) for c in df.columns])
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), map(alike, ready.values()))
+
+
 def strip_at(df: DataFrame) -> DataFrame:
     """Every text column without the sign @."""
     return df.withColumns({c: F.translate(c, "@", "") for c, kind in df.dtypes if kind == "string"})
@@ -131,7 +196,7 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """A report as CSV with a header."""
     if encoding.upper() != "UTF-8":
         df.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
+    df.write.mode("overwrite").option("header", True).option("encoding", java_charset(encoding)).csv(path)
 
 
 def merge_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -147,3 +212,64 @@ def resume_at(df: DataFrame, seq: str, links: tuple[str, ...]) -> DataFrame:
 def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Inputs that no done-log row names."""
     return inputs.join(done.select(key).distinct(), key, "left_anti")
+
+
+def write_parts(parts: DataFrame, path: str, label: str, seq: str) -> None:
+    """One CSV file for each part, below a folder named by the part's label, its rows in order.
+
+    parts: with part, as from split_parts. A part is bounded, so a task writes its file
+    whole; parts are dealt over the tasks by their number.
+    """
+    ordered = parts.repartition("part").sortWithinPartitions("part", seq)
+    ordered.write.mode("overwrite").partitionBy(label).option("header", True).csv(path)
+
+
+def list_parts(spark: SparkSession, path: str, label: str, schema: str) -> DataFrame:
+    """(label, files, rows) of the part files below a folder, counted from the files."""
+    read = spark.read.option("header", True).schema(f"{schema}, {label} string").csv(path)
+    return read.groupBy(label).agg(F.count_distinct("_metadata.file_path").alias("files"), F.count(F.lit(1)).alias("rows"))
+
+
+RUN = "run_id"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def append_run(df: DataFrame, path: str, run_id: str) -> bool:
+    """Append a run's rows once: False if the run is already complete, and nothing is written.
+
+    The rows replace the run's own partition, so what a broken run left is overwritten and other
+    runs stay. The run's row in the done-log is written last: without it the run does not count.
+    """
+    spark = df.sparkSession
+    marker = f"{path}/done/{RUN}={run_id}"
+    if _exists(spark, f"{marker}/_SUCCESS"):
+        return False
+    rows = df.withColumn(RUN, F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN).parquet(f"{path}/rows")
+    count = spark.read.parquet(f"{path}/rows").filter(F.col(RUN).cast("string") == run_id).count()
+    spark.range(1).select(F.lit(count).alias("rows")).write.mode("overwrite").parquet(marker)
+    return True
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of complete runs, with run_id; those of runs that broke off are left out."""
+    whole = T.StructType([*schema.fields, T.StructField(RUN, T.StringType())])
+    done = spark.read.schema(f"rows long, {RUN} string").parquet(f"{path}/done").select(RUN)
+    return spark.read.schema(whole).parquet(f"{path}/rows").join(done, RUN, "left_semi").select(*whole.names)
+
+
+def write_tiers(tiers: DataFrame, path: str, by: str) -> None:
+    """Price tables as CSV, quantity and price under their usual headers, in order of quantity, a folder for each ``by``."""
+    quantity, price = TIER_HEADERS
+    named = tiers.select(by, F.col("qty").alias(quantity), F.col("unit_price").alias(price))
+    named.repartition(by).sortWithinPartitions(by, quantity).write.mode("overwrite").partitionBy(by).option("header", True).csv(path)
+
+
+def read_tiers(spark: SparkSession, path: str, by: str, kind: str = "string") -> DataFrame:
+    quantity, price = TIER_HEADERS
+    found = spark.read.option("header", True).schema(f"`{quantity}` int, `{price}` double, {by} {kind}").csv(path)
+    return found.select(by, F.col(quantity).alias("qty"), F.col(price).alias("unit_price"))
