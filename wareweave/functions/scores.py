@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wareweave.functions.text import SPEC_PATTERNS, normalize_name, spec_hits
+from wareweave.session import checkpoint
 
 
 @F.pandas_udf(T.DoubleType())
@@ -91,16 +92,18 @@ def score_names(pairs: DataFrame, a: str, b: str, edit, score: str, clean=None)
     """Pairs of names with their text score without vectors; ``clean`` is applied to the names first.
 
     0 where either name has nothing left when normalised; null names score 0. ``edit`` makes the edit
-    ratio's column of two columns. The normal forms are columns of their own, as the
-    score mentions each several times.
+    ratio's column of two columns. The normal forms and the score are checkpointed: the
+    score mentions each form many times, and whoever filters by the score mentions that
+    again, and Catalyst would put the whole expressions in those places.
     """
     clean = clean or (lambda c: c)
     ready = pairs.withColumns({"__ww_a": clean(F.col(a)), "__ww_b": clean(F.col(b))})
     ready = ready.withColumns({f"__ww_n{x}": F.coalesce(normalize_name(F.col(f"__ww_{x}")), F.lit("")) for x in "ab"})
+    ready = checkpoint(ready)
     na, nb = F.col("__ww_na"), F.col("__ww_nb")
     value = text_score(edit(na, nb), tfidf_cosine(na, nb), token_jaccard(F.col("__ww_a"), F.col("__ww_b")), spec_similarity(F.col("__ww_a"), F.col("__ww_b")))
     scored = ready.withColumn(score, F.when((na == "") | (nb == ""), 0.0).otherwise(value))
-    return scored.drop("__ww_a", "__ww_b", "__ww_na", "__ww_nb")
+    return checkpoint(scored.drop("__ww_a", "__ww_b", "__ww_na", "__ww_nb"))
 
 
 def adaptive_weights(text: Column, image: Column, has_images: Column, base=(0.7, 0.3), floors=(0.3, 0.2)) -> Column:
