@@ -1,9 +1,10 @@
 """Licence scan by a trained paragraph classifier with template confirmation.
 
 A paragraph is a run of lines between lines without words, so a notice that is wrapped
-over lines is read as a whole. Inside it, spans are looked at in which licence vocabulary
+over lines is read as a whole. Inside it, stretches are looked at that run along a template,
+in its order, and in what is left of the paragraph spans in which licence vocabulary
 (the anchors) stands closer than ``GAP`` words: spans of each line and, where they reach
-over a line's end, of the joined lines; a span above ``WINDOW`` words is read in
+over a line's end, of the joined lines; such a span above ``WINDOW`` words is read in
 overlapping windows. A span becomes the set of its hashed word unigrams, bigrams and
 trigrams that hold an anchor, so a notice counts alike however much other text is around
 it, and text without any anchor has no feature: skipping it changes no answer. Anchors
@@ -19,13 +20,15 @@ model has not seen: the least threshold at which at most ``FALSE_RATE`` of the u
 named. A named span is confirmed only if it holds ``MIN_OVERLAP`` of some template's word
 bigrams of the same family, or the family's template holds that share of the span's; what
 the classifier names and no template confirms is reported as unconfirmed. Of overlapping
-spans the confirmed, then the better matching one is reported.
+spans the confirmed, then the better matching one is reported. A stretch ends where its
+template does, so notices that follow each other in a line or block are notices of their
+own, as are the parts of a long licence text that are templates of their own.
 
 Paragraphs are found, scored and compared where the document is read, so nothing is
 shuffled and a document's output is one row per licence notice.
 
 Defined cases: null, empty and blank texts have no paragraphs and no rows; repeated
-rows give their rows again; a paragraph or line of any length is read whole, in windows;
+rows give their rows again; a paragraph or line of any length is read whole, in time that grows with its words;
 of equally good overlapping spans the first, of equally likely families the first by name
 is reported; without a background sample the model knows the families, the fixed
 sentences and random licence words; an empty table gives an empty result; columns other
@@ -34,6 +37,7 @@ than doc_id and text are not read, whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections import Counter
@@ -136,6 +140,8 @@ MIN_OVERLAP = 0.6
 #: A template's word is an anchor unless more than this share of background paragraphs hold it.
 COMMON = 0.02
 GAP, WINDOW = 8, 64
+#: Spans of a text whose names are kept for when they are said again.
+SEEN = 50_000
 WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -320,8 +326,8 @@ def _clusters(tokens: list[str], anchors: set[str], base: int) -> list[tuple[int
     return out
 
 
-def spans(lines: list[str], anchors: set[str]) -> Iterator[tuple[list[str], np.ndarray, list[tuple[int, int]]]]:
-    """For each paragraph with an anchor: its tokens, their line numbers, its spans."""
+def paragraphs(lines: list[str], anchors: set[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """For each paragraph with an anchor: its tokens and their line numbers."""
     tokens: list[str] = []
     counts: list[tuple[int, int]] = []
     for k, line in enumerate([*lines, ""]):
@@ -331,43 +337,162 @@ def spans(lines: list[str], anchors: set[str]) -> Iterator[tuple[list[str], np.n
             counts.append((k, len(found)))
             continue
         if not anchors.isdisjoint(tokens):
-            out, at = [], 0
-            for _, n in counts:
-                out += _clusters(tokens[at : at + n], anchors, at)
-                at += n
-            number = np.repeat([c[0] for c in counts], [c[1] for c in counts])
-            joined = _clusters(tokens, anchors, 0) if len(counts) > 1 else []
-            yield tokens, number, out + [(a, b) for a, b in joined if number[a] != number[b - 1]]
+            yield tokens, np.repeat([c[0] for c in counts], [c[1] for c in counts])
         tokens, counts = [], []
 
 
+def _index() -> tuple[list[tuple[str, int]], dict[tuple[str, str], list[tuple[int, list[int]]]]]:
+    """Family and bigrams of each template, and where each bigram stands in which."""
+    known, at = [], {}
+    for family, texts in TEMPLATES.items():
+        for text in texts:
+            tokens = words(text)
+            for offset, pair in enumerate(zip(tokens, tokens[1:], strict=False)):
+                at.setdefault(pair, {}).setdefault(len(known), []).append(offset)
+            known.append((family, max(len(bigrams(tokens)), 1)))
+    return known, {pair: list(where.items()) for pair, where in at.items()}
+
+
+KNOWN, INDEX = _index()
+
+
+def aligned(tokens: list[str]) -> list[tuple[int, int, str, float, float]]:
+    """(from, to, family, share, weight) of the stretches that run along a template.
+
+    A stretch is bigrams of one template in the template's order, no more than GAP words
+    apart or out of step; a bigram that goes back begins a new one, so said again is
+    found again. share is that of the template's bigrams, or of its own if it has eight words
+    or more, as a long template may be cut. The weight, by which stretches that overlap are
+    chosen, is the shared bigrams times their share of the stretch's own: a stretch that leans
+    over two notices weighs less than either.
+    """
+    going: dict[int, list[list[int]]] = {}  # by template: [last place, last offset, first place, bigrams]
+    done: list[tuple[int, list[int]]] = []
+    for i, pair in enumerate(zip(tokens, tokens[1:], strict=False)):
+        for t, offsets in INDEX.get(pair, ()):
+            chains = going.get(t, [])
+            live = [c for c in chains if i - c[0] <= GAP + 1]
+            done += [(t, c) for c in chains if i - c[0] > GAP + 1]
+            steps = [(abs(i - c[0] - (o - c[1])), -c[0], k, o) for k, c in enumerate(live) for o in offsets if o > c[1]]
+            if steps and min(steps)[0] <= GAP:
+                _, _, k, o = min(steps)
+                live[k] = [i, o, live[k][2], live[k][3] + 1]
+            else:
+                live += [[i, o, i, 1] for o in offsets]
+            going[t] = live
+    done += [(t, c) for t, chains in going.items() for c in chains]
+    out = []
+    for t, (last, _, first, held) in done:
+        family, size = KNOWN[t]
+        length = last + 2 - first
+        share = max(held / size, held / (length - 1) if length >= 8 else 0.0)
+        if share >= MIN_OVERLAP:
+            out.append((first, last + 2, family, min(share, 1.0), share * held * held / (length - 1)))
+    return out
+
+
+class _Namer:
+    """The likeliest family and its probability of a span; what repeats is looked up."""
+
+    def __init__(self, model: Classifier) -> None:
+        self.model, self.seen = model, {}
+
+    def __call__(self, spans: list[list[str]]) -> list[tuple[str, float]]:
+        keys = ["\0".join(s) for s in spans]
+        new = {k: s for k, s in zip(keys, spans, strict=True) if k not in self.seen}
+        if len(self.seen) + len(new) > SEEN:
+            self.seen = {}
+            new = dict(zip(keys, spans, strict=True))
+        for start in range(0, len(new), 1024):
+            part = dict(list(new.items())[start : start + 1024])
+            rows = self.model.probabilities([features(s, self.model.anchors) for s in part.values()])[:, 1:]
+            self.seen |= {k: (self.model.families[int(r.argmax())], float(r.max())) for k, r in zip(part, rows, strict=True)}
+        return [self.seen[k] for k in keys]
+
+
+def _rest(tokens: list[str], number: np.ndarray, covered: bytearray, anchors: set[str]) -> list[tuple[int, int]]:
+    """Spans with anchors in what no notice covers: of each line and, where they reach over a line's end, joined."""
+    starts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(tokens)]
+    out, at = [], 0
+    while (at := covered.find(0, at)) >= 0:
+        end = covered.find(1, at)
+        end = len(tokens) if end < 0 else end
+        edges = [at, *starts[bisect.bisect_right(starts, at) : bisect.bisect_left(starts, end)], end]
+        for a, b in zip(edges, edges[1:], strict=False):
+            out += _clusters(tokens[a:b], anchors, a)
+        if len(edges) > 2:
+            out += [(a, b) for a, b in _clusters(tokens[at:end], anchors, at) if number[a] != number[b - 1]]
+        at = end
+    return out
+
+
+class _Lines:
+    """A text's lines, and the text of a stretch of words in them."""
+
+    def __init__(self, text: str) -> None:
+        self.lines, self.at = text.split("\n"), {}
+
+    def ends(self, k: int, count: int) -> list[tuple[int, int]]:
+        """Where the words of a line begin and end; the whole line for each if lower case has other words."""
+        if k not in self.at:
+            found = [m.span() for m in WORDS.finditer(self.lines[k])]
+            self.at[k] = found if len(found) == count else [(0, len(self.lines[k]))] * count
+        return self.at[k]
+
+    def content(self, number: np.ndarray, a: int, b: int) -> str:
+        """From the first letter of word a to the last of word b - 1."""
+        out, (first, last) = [], (int(number[a]), int(number[b - 1]))
+        for k in range(first, last + 1):
+            i, j = np.searchsorted(number, [k, k + 1])
+            ends = self.ends(k, int(j - i))
+            start, end = ends[a - i][0] if k == first else 0, ends[b - 1 - i][1] if k == last else len(self.lines[k])
+            out.append(self.lines[k][start:end])
+        return "\n".join(out)
+
+
 def notices(text: str, model: Classifier) -> list[tuple[int, int, str, float, float, bool, str]]:
-    """(first line, last line, family, probability, overlap, confirmed, content) of each notice."""
-    lines, out = text.split("\n"), []
-    for tokens, number, found in spans(lines, model.anchors):
-        p = model.probabilities([features(tokens[a:b], model.anchors) for a, b in found])
+    """(first line, last line, family, probability, overlap, confirmed, content) of each notice.
+
+    First the stretches along a template whose words alone the classifier names as the
+    template's family, the most shared words first; then, in what they leave, the spans that it names.
+    """
+    read, out = _Lines(text), []
+    name = _Namer(model)
+    for tokens, number in paragraphs(read.lines, model.anchors):
+        covered, whose = bytearray(len(tokens)), bytearray(len(tokens))
+
+        def take(hits: list[tuple]) -> None:
+            for unsure, _, share, probability, a, b, family in sorted(hits):
+                code = 1 + model.families.index(family)
+                # what is named beside a confirmed notice of that family belongs to it
+                part = unsure and code in whose[max(a - GAP, 0) : b + GAP]  # noqa: B023
+                if covered.find(1, a, b) < 0 and not part:  # noqa: B023
+                    covered[a:b] = b"\1" * (b - a)  # noqa: B023
+                    if not unsure:
+                        whose[a:b] = bytes([code]) * (b - a)  # noqa: B023
+                    first, last = int(number[a]), int(number[b - 1])  # noqa: B023
+                    out.append((a, (first, last, family, -probability, -share, not unsure, read.content(number, a, b))))  # noqa: B023
+
+        runs = aligned(tokens)
+        named = name([tokens[a:b] for a, b, *_ in runs])
+        sure = [(run, p) for run, (best, p) in zip(runs, named, strict=True) if best == run[2] and p >= model.threshold]
+        take([(False, -weight, -share, -p, a, b, family) for (a, b, family, share, weight), p in sure])
+        rest = _rest(tokens, number, covered, model.anchors)
         hits = []
-        for (a, b), row in zip(found, p, strict=True):
-            best = int(row[1:].argmax())
-            if row[best + 1] >= model.threshold:
-                share, first, last = overlap(tokens[a:b], model.families[best])
+        for (a, b), (family, p) in zip(rest, name([tokens[a:b] for a, b in rest]), strict=True):
+            if p >= model.threshold:
+                share, first, last = overlap(tokens[a:b], family)
                 sure = share >= MIN_OVERLAP
                 if sure:
                     a, b = a + first, a + last
-                # of confirmed spans the one that shares most words with its template goes first
-                hits.append((not sure, -share * (b - a), -share, -float(row[best + 1]), a, b, model.families[best]))
-        taken: list[tuple[int, int]] = []
-        for unsure, _, share, probability, a, b, family in sorted(hits):
-            if all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
-                first, last = int(number[a]), int(number[b - 1])
-                out.append((first, last, family, -probability, -share, not unsure, "\n".join(lines[first : last + 1])))
-    return sorted(out)
+                hits.append((not sure, -share * (b - a), -share, -p, a, b, family))
+        take(hits)
+    return [n for _, n in sorted(out, key=lambda x: (x[1][0], x[0]))]
 
 
 def scan(docs: DataFrame, model: Classifier) -> DataFrame:
     """One row per licence notice: doc_id, paragraph (its first line), last_line, family,
-    probability, overlap, confirmed, content (its lines)."""
+    probability, overlap, confirmed, content (its own text, from its first word to its last)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams of the templates only
     rows = docs.select("doc_id", whole_text().alias("text"))
     types = {"paragraph": pa.int32(), "last_line": pa.int32(), "family": pa.string(), "probability": pa.float64(), "overlap": pa.float64(), "confirmed": pa.bool_(), "content": pa.string()}
