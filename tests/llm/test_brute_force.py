@@ -238,6 +238,56 @@ def test_machine_learns_terms_that_only_matter_together():
     assert min(scores[:2]) > 0.8 and max(scores[2:]) < 0.2
 
 
+@pytest.mark.parametrize("rows, share, commoner", [(1400, 0.2, 0), (12000, 0.05, 1500)])
+def test_machine_learns_a_pair_of_equal_margins(rows, share, commoner):
+    """Insult and group are as common in both classes and meet in toxic rows only."""
+    rng = np.random.default_rng(4)
+    texts, label = [], []
+    for i in range(rows):
+        toxic, draw = i % 2, rng.random()
+        words = [f"w{int(k)}" for k in rng.integers(0, 200, 10)]
+        if commoner:
+            words += [f"c{int(k)}" for k in rng.choice(commoner, 100, replace=False)]
+        words += ["insult"] * (draw < share) + ["group"] * (draw < share if toxic else share <= draw < 2 * share)
+        texts.append(" ".join(words))
+        label.append(toxic)
+    machine = toxicity.fit([np.array(toxicity.terms(t)) for t in texts], np.array(label), {0: rows // 2, 1: rows // 2})
+    both, insult, group = machine.scores([toxicity.terms(t) for t in ("insult group", "insult", "group")])
+    assert both > 0.8 and max(insult, group) < 0.5
+
+
+def test_pair_screening_by_brute_force():
+    rng = np.random.default_rng(8)
+    label = np.array([i % 2 for i in range(60)])
+    x = (rng.random((60, 40)) < 0.4).astype(np.uint8)
+    z = np.zeros((40, 40))
+    for i, j in combinations(range(40), 2):
+        excess, variance = 0.0, 0.0
+        for c, sign in ((1, 1), (0, -1)):
+            side = x[label == c].astype(float)
+            apart = side[:, i].mean() * side[:, j].mean()
+            excess += sign * ((side[:, i] * side[:, j]).mean() - apart)
+            variance += apart * (1 - apart) / len(side)
+        z[i, j] = z[j, i] = abs(excess) / max(variance, 1e-9) ** 0.5
+    for block in (3, 7, 512):
+        toxicity.BLOCK_TERMS, toxicity.BLOCK_ROWS, before = block, block, (toxicity.BLOCK_TERMS, toxicity.BLOCK_ROWS)
+        try:
+            assert toxicity._paired(x, label) == pytest.approx(z.max(1), rel=1e-3)
+        finally:
+            toxicity.BLOCK_TERMS, toxicity.BLOCK_ROWS = before
+
+
+def test_pair_bound_comes_from_the_sample_alone():
+    """The order of the rows changes nothing, and a class that a fold lacks leaves chance as the bound."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, 12)) for _ in range(300)]
+    label = np.array([int(5 in r) for r in rows])
+    one = toxicity.fit(rows, label, {0: 200, 1: 100})
+    turned = toxicity.fit(rows[::-1], label[::-1], {0: 200, 1: 100})
+    assert one.known.tolist() == turned.known.tolist() and np.array_equal(one.weight, turned.weight)
+    assert toxicity.fit([np.array([1, 2]), np.array([3])], np.array([1, 0]), {0: 1, 1: 1}).known.size == 0
+
+
 def test_samples_are_bounded_by_bytes(spark):
     from wareweave.llm.sampling import labelled_sample
 
