@@ -222,6 +222,24 @@ def test_mixing_targets_and_counts(spark):
     assert {(r["doc_id"], r["taken"]) for r in found} == {(r["doc_id"], r["taken"]) for r in mixing.mix(again, *mixing.plan_mix(again)).collect()}
 
 
+def test_mixing_makes_up_for_large_documents(spark):
+    """Sources of few documents, some of them a tenth of the words, come within their largest small document."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for s, n in (("a", 60), ("b", 200), ("c", 90)):
+        sizes = [int(x) for x in rng.integers(1, 40, n)] + [900, 700, 700, 400, 90]
+        rows += [(len(rows) + i, "w " * size, "en", s, 0) for i, size in enumerate(sizes)]
+    keyed = mixing.narrow(mixing.sized(spark.createDataFrame(rows, DOCS)))
+    found = mixing.mix(keyed, *mixing.plan_mix(keyed)).collect()
+    assert len(found) == len(rows)
+    for s in "abc":
+        mine = [r for r in found if r["source"] == s]
+        least = max(mixing.LARGE_TARGET * mine[0]["target"], mixing.LARGE_SOURCE * mine[0]["source_size"])
+        small = max(r["size"] for r in mine if r["size"] <= least)
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 2 * small + 1
+        assert all(0 <= r["copies"] <= 3 for r in mine)
+
+
 def test_mixing_odd_rows(docs):
     for f in (mixing.emit, exact_dedup.keep_one, simhash.keep_one):
         assert f(docs).columns == docs.columns
