@@ -33,19 +33,19 @@ def grams(text, order=4):
 
 def brute_points(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    fold = lambda c: ord(c) if ord(c) < 3072 else 3072 + ord(c) % 1024
-    s = [0, 0, 0, 0, *(x for w in words for x in (*map(fold, w), 0))]
+    parts = lambda c: [ord(c)] if ord(c) < 1984 else [1984 + ord(c) // 1024, 3072 + ord(c) % 1024]
+    s = [0, 0, 0, 0, *(x for w in words for x in (*(y for c in w for y in parts(c)), 0))]
     return [tuple(s[i - 4 : i + 1]) for i in range(4, len(s))]
 
 
 def brute_kneser_ney(texts):
     """The probability of a 5-gram that the texts hold, by the order-five model."""
-    seen, groups = Counter(), defaultdict(set)
+    seen, holders = Counter(), defaultdict(set)
     for t in texts:
         for g in brute_points(t):
             seen[g] += 1
-            groups[g].add(zlib.crc32(t.encode()) >> 28)
-    levels = [Counter({g: n for g, n in seen.items() if len(groups[g]) > 1})]
+            holders[g].add(t)
+    levels = [Counter({g: n for g, n in seen.items() if len(holders[g]) > 1})]
     for _ in range(4):
         levels.insert(0, Counter(g[1:] for g in levels[0]))
     tables = []
@@ -73,7 +73,7 @@ def brute_kneser_ney(texts):
     return p
 
 
-ODD = ["", " \n ", " lead", "ab", "漢字 🎉\x00 ñ", "ab ab\n"] + ["tail and tale %d" % i for i in range(40)]
+ODD = ["", " \n ", " lead", "ab", "漢字 🎉\x00 ñ", "ab ab\n", "무선 마우스 블랙", "무선 마우스 화이트", "전부 같은 글", "전부 같은 글"] + ["tail and tale %d" % i for i in range(40)]
 
 
 @pytest.mark.parametrize("hot", [0, 40, perplexity.HOT])

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
-from wareweave.llm import bpe, components, exact_dedup, licenses, mixing, ngrams, perplexity, quality_cnn, registry, sharding, simhash, symbols, toxicity, url_filter
+from wareweave.llm import bpe, components, exact_dedup, licenses, mixing, ngrams, perplexity, points, quality_cnn, registry, sharding, simhash, symbols, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -341,6 +341,25 @@ def test_word_rules_by_brute_force():
         assert perplexity.word_rules(t) == want
 
 
+def test_word_rules_of_a_long_text_in_stretches(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(3000)) + " w7 w8 w9 w10 end"
+    want = (3005, len(text.replace(" ", "")), 0, 0, 8)
+    assert perplexity.word_rules(text) == want
+    monkeypatch.setattr(perplexity, "STRETCH_BYTES", 11)
+    assert perplexity.word_rules(text) == want
+
+
+def test_no_two_code_points_are_one_symbol():
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c not in (0, 32) and not 9 <= c <= 13)
+    s, _ = points._padded([every])
+    narrow = s < points.OWN
+    singles = s[narrow & (s > 0)]
+    pairs = s[~narrow].reshape(-1, 2)
+    assert len(np.unique(singles)) == len(singles)
+    assert len(np.unique(pairs, axis=0)) == len(pairs) and len(singles) + len(pairs) == len(every)
+    assert pairs[:, 0].max() < points.LOWER <= pairs[:, 1].min() and s.max() < points.SYMBOLS
+
+
 def brute_symbols(text):
     table = symbols.symbol_table()
     return [int(table[ord(c)]) for c in BLANK.sub(" ", text).strip("\t\n\x0b\x0c\r ") + " "] if WORD.search(text) else []

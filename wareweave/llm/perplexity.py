@@ -6,8 +6,9 @@ words and the boundaries between them, and it grows with the corpus. Spark count
 see points.py). Continuation counts, discounts, back-off and probabilities follow from
 that table by grouping, windows and joins, order by order: a context has at most 4,096
 followers and a suffix at most 4,096 predecessors, so no group grows with the corpus.
-Texts fall into sixteen groups by their CRC; a 5-gram of one group alone counts as
-unseen and backs off, or a text would vouch for itself.
+A 5-gram that one text alone holds, copies of it included, is left out of all counts and
+backs off, as if it were scored by a model of all other texts: a text must not vouch for
+itself.
 
 Scoring needs one cost for each 5-gram, as every text was counted. The most frequent
 5-grams, ``HOT`` at most, are broadcast as sorted hash arrays and looked up by binary
@@ -23,7 +24,8 @@ exact counts over all documents in bins of 1/1000 nat, each distinct text hash c
 once so that a large group of copies does not set them.
 
 Defined cases: null, empty and blank texts have no words, fail the base rules and have
-a null perplexity; very long texts are counted and scored whole, in stretches; a null
+a null perplexity; very long texts are counted and scored whole, in stretches, and their
+windows of words are compared by 64-bit hashes, eight bytes a word; a null
 language is a language of its own; repeated rows get the same result; a perplexity on
 a bound is kept, and one above the largest double is infinite; a language whose documents all fail the base rules has no band and
 rejects nothing further; an empty table gives an empty result; other columns are not
@@ -37,6 +39,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +58,10 @@ BINS_PER_NAT = 1000
 HOT = 1 << 21
 MICRO = 1_000_000
 SIGNS = re.compile(r"[#*$%&|<>]")
+#: Bytes of a text whose words are split at once, and odd multipliers that make a window's hash of its words' hashes.
+STRETCH_BYTES = 1 << 22
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -70,29 +77,37 @@ def _suffix(order: int) -> Column:
 
 
 def _interpolate(level: DataFrame, shorter: DataFrame | None) -> DataFrame:
-    """(code, p) of one order's n-grams; n is 0 for those that only need a probability."""
+    """One order's n-grams with p in place of n and suffix; n is 0 for those that only need a probability.
+
+    Windows add counts, not discounts, so that no sum depends on its order.
+    """
     n = level.agg(*(F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-    d1, d2, d3 = _discounts(list(n))
-    cut = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+    cuts = _discounts(list(n))
+    classes = [F.col("n") == 1, F.col("n") == 2, F.col("n") >= 3]
     context = Window.partitionBy(F.shiftright("code", BITS))
-    level = level.withColumn("cut", cut).select("*", F.sum("cut").over(context).alias("left"), F.sum("n").over(context).alias("total"))
+    level = level.select(
+        "*", F.sum("n").over(context).alias("total"), *(F.sum(c.cast("long")).over(context).alias(f"c{k}") for k, c in enumerate(classes, 1))
+    )
     lower = F.lit(1.0 / SYMBOLS) if shorter is None else F.col("lower")
     if shorter is not None:
         level = level.join(shorter.select(F.col("code").alias("suffix"), F.col("p").alias("lower")), "suffix")
-    own = (F.col("n") - F.col("cut") + F.col("left") * lower) / F.col("total")
-    return level.select("code", F.when(F.col("total") > 0, own).otherwise(lower).alias("p"))
+    left = sum(d * F.col(f"c{k}") for k, d in enumerate(cuts, 1))
+    cut = F.when(classes[0], cuts[0]).when(classes[1], cuts[1]).when(classes[2], cuts[2]).otherwise(0.0)
+    own = (F.col("n") - cut + left * lower) / F.col("total")
+    p = F.when(F.col("total") > 0, own).otherwise(lower)
+    return level.withColumn("p", p).drop("n", "suffix", "lower", "total", "c1", "c2", "c3")
 
 
 def kneser_ney(seen: DataFrame) -> DataFrame:
     """(code, n, cost): of every 5-gram, its count and its cost in micronats."""
-    levels = [seen.select("code", F.when(F.col("shared"), F.col("n")).otherwise(0).alias("n"))]
+    levels = [seen.select("code", F.col("n").alias("seen"), F.when(F.col("shared"), F.col("n")).otherwise(0).alias("n"))]
     for order in range(ORDER - 1, 0, -1):  # how many distinct symbols precede the suffix
         known = (F.col("n") > 0).cast("long")
         levels.insert(0, checkpoint(levels[0].groupBy(_suffix(order).alias("code")).agg(F.sum(known).alias("n"))))
     p = None
     for order, level in enumerate(levels, 1):
-        p = checkpoint(_interpolate(level.withColumn("suffix", _suffix(order - 1)), p))
-    return seen.select("code", "n").join(p, "code").select("code", "n", F.round(-F.log("p") * MICRO).cast("int").alias("cost"))
+        p = _interpolate(level.withColumn("suffix", _suffix(order - 1)), p)
+    return p.select("code", F.col("seen").alias("n"), F.round(-F.log("p") * MICRO).cast("int").alias("cost"))
 
 
 def train(docs: DataFrame) -> DataFrame:
@@ -110,25 +125,44 @@ def split(model: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return model.filter(power >= least), model.filter(power < least)
 
 
+def _word_hashes(text: str) -> np.ndarray:
+    """The hash of each word; a stretch's words are held at once, cut where a blank is."""
+    data, at, parts = text.encode("utf-8", "surrogatepass"), 0, [np.zeros(0, np.uint64)]
+    while at < len(data):
+        end = len(data)
+        if at + STRETCH_BYTES < end and (blank := BLANK.search(data, at + STRETCH_BYTES)):
+            end = blank.start()
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, data[at:end].split()), np.uint64))
+        at = end
+    return np.concatenate(parts)
+
+
+def _repeated(words: np.ndarray) -> int:
+    """Words inside 3-word windows that occur twice or more."""
+    windows = words[:-2] * MIX[0] + words[1:-1] * MIX[1] + words[2:]
+    ordered = np.sort(windows)
+    often = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(often):
+        return 0
+    often = np.unique(often)
+    found = often[np.minimum(np.searchsorted(often, windows), len(often) - 1)] == windows
+    covered = np.zeros(len(words), bool)
+    for k in range(3):
+        covered[k : k + len(found)] |= found
+    return int(covered.sum())
+
+
 def word_rules(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one text."""
-    words = text.encode("utf-8", "surrogatepass").split()
+    words = _word_hashes(text)
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     lines = text.split("\n")
     dup = 0
     if len(set(lines)) < len(lines):
         seen = Counter(lines)
         dup = sum(n - 1 for line, n in seen.items() if n > 1 and line.encode("utf-8", "surrogatepass").split())
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    repeat = 0
-    if len(set(windows)) < len(windows):
-        often = {w for w, n in Counter(windows).items() if n > 1}
-        covered = -1
-        for i, w in enumerate(windows):
-            if w in often:
-                repeat += i + 2 - max(covered, i - 1)
-                covered = i + 2
-    return len(words), chars, len(SIGNS.findall(text)), dup, repeat
+    symbols = sum(1 for _ in SIGNS.finditer(text))
+    return len(words), chars, symbols, dup, _repeated(words) if len(words) > 3 else 0
 
 
 def _rest(rows: np.ndarray, code: np.ndarray, n_rows: int) -> pa.Array:
