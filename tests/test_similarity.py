@@ -264,3 +264,33 @@ def test_compatible_categories(spark, rows):
     classes = {(r["category_a"], r["category_b"]): (r["n_a"], r["n_b"]) for r in compat.category_classes(left, right, "c", "d", GROUPS).collect()}
     count = lambda xs, v: sum(norm(x[2]) == v for x in xs)
     assert classes == {(x, y): (count(a, x), count(b, y)) for x in {norm(r[2]) for r in a} for y in {norm(r[2]) for r in b} if fits(x, y)}
+
+
+@pytest.mark.parametrize("rows", [4096, 3])
+def test_classes_give_all_compatible_pairs(spark, rows):
+    """Members and linked classes, put together, are the pairs; the rows do not grow with them."""
+    rng = random.Random(9)
+    pick = lambda: rng.choice([None, "", " ", "a", "B ", "c", "d", "x"])
+    a, b = [(i, rng.choice([0, 1, None]), pick()) for i in range(90)], [(i, rng.choice([0, 1, None]), pick()) for i in range(80)]
+    left, right = spark.createDataFrame(a, "i int, k int, c string"), spark.createDataFrame(b, "j int, k int, d string")
+    norm = lambda c: (c or "").strip().lower()
+    fits = lambda x, y: not x or not y or x == y or any(x in m and y in m for m in GROUPS.values())
+    want = sorted((i, j) for i, k, c in a for j, m, d in b if k is not None and k == m and fits(norm(c), norm(d)))
+    got = compat.compatible_members(left, right, "i", "j", "c", "d", GROUPS, ["k"], rows).collect()
+    of = {kind: [r for r in got if r["kind"] == kind] for kind in ("left", "right", "pair")}
+    assert [sorted((r["id"], r["category"] or "") for r in of[s]) for s in ("left", "right")] == [sorted((r[0], r[2] or "") for r in rows_) for rows_ in (a, b)]
+    members = {s: {c: [r["id"] for r in of[s] if r["class_id"] == c] for c in {r["class_id"] for r in of[s]}} for s in ("left", "right")}
+    assert all(min(ids) == c for s in members.values() for c, ids in s.items())
+    assert sorted((i, j) for p in of["pair"] for i in members["left"][p["id"]] for j in members["right"][p["class_id"]]) == want
+    assert all(p["links"] == len(members["left"][p["id"]]) * len(members["right"][p["class_id"]]) for p in of["pair"])
+    for s, at in (("left", 0), ("right", 1)):
+        assert {r["id"]: r["links"] for r in of[s]} == {r["id"]: sum(p[at] == r["id"] for p in want) for r in of[s]}
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    """A side's estimate does not see what it explodes into, so it is merged however small it looks."""
+    side = spark.range(100).select(F.col("id").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(50))).alias("k"))
+    other = spark.range(100).select(F.col("id").alias("y"), (F.col("id") % 50).alias("k"))
+    text = tiles.tiled_join(side, other, ["k"], [F.col("x")], [F.col("y")])._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join" in line and "__ww_i" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)

@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wareweave.operators.tiles import TILE_ROWS, tiled_join
+from wareweave.operators.tiles import TILE_ROWS, merged, tiled_join
+from wareweave.session import checkpoint
 
 WILD_LEFT, WILD_RIGHT = "?", "*"
 
@@ -73,6 +74,40 @@ def compatible_pairs(left: DataFrame, right: DataFrame, a: str, b: str, groups:
     return met.filter(F.col("__ww_key") == first).drop("__ww_key", "__ww_ka", "__ww_kb")
 
 
+def compatible_members(
+    left: DataFrame, right: DataFrame, id_a: str, id_b: str, a: str, b: str, groups: dict[str, tuple[str, ...]], on: list[str] | None = None, rows: int = TILE_ROWS
+) -> DataFrame:
+    """(kind, id, category, class_id, links): what compatible_pairs finds, without a row for each pair.
+
+    Rows of a side whose ``on`` columns and category agree are a class, named by its least
+    id. Kinds ``left`` and ``right`` give every row with its class and the number of
+    partners; kind ``pair`` gives every two compatible classes, id of the left one and class_id
+    of the right one, with the number of pairs of rows. A row whose ``on`` column is null has no partners.
+    """
+    on = on or []
+    name = lambda c: F.coalesce(F.lower(F.trim(F.col(c))), F.lit(""))
+
+    def classes(side: DataFrame, c: str, i: str, x: str) -> DataFrame:
+        grouped = side.groupBy(*on, name(c).alias(f"category_{x}")).agg(F.min(i).alias(f"class_{x}"), F.count(F.lit(1)).alias(f"n_{x}"))
+        return checkpoint(grouped)
+
+    mine, theirs = classes(left, a, id_a, "a"), classes(right, b, id_b, "b")
+    found = checkpoint(compatible_pairs(mine, theirs, "category_a", "category_b", groups, on, rows).select("class_a", "n_a", "class_b", "n_b"))
+
+    def members(side: DataFrame, of: DataFrame, i: str, c: str, x: str, y: str, kind: str) -> DataFrame:
+        links = found.groupBy(f"class_{x}").agg(F.sum(f"n_{y}").alias("links"))
+        named = of.join(merged(links), f"class_{x}", "left").select(
+            *[F.col(k).alias(f"__ww_{k}") for k in on], F.col(f"category_{x}").alias("__ww_name"), F.col(f"class_{x}").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")
+        )
+        same = name(c) == F.col("__ww_name")
+        for k in on:
+            same = same & F.col(k).eqNullSafe(F.col(f"__ww_{k}"))
+        return side.join(merged(named), same).select(F.lit(kind).alias("kind"), F.col(i).alias("id"), F.col(c).alias("category"), "class_id", "links")
+
+    pairs = found.select(F.lit("pair").alias("kind"), F.col("class_a").alias("id"), F.lit(None).cast("string").alias("category"), F.col("class_b").alias("class_id"), (F.col("n_a") * F.col("n_b")).alias("links"))
+    return members(left, mine, id_a, a, "a", "b", "left").unionByName(members(right, theirs, id_b, b, "b", "a", "right")).unionByName(pairs)
+
+
 def category_classes(left: DataFrame, right: DataFrame, a: str, b: str, groups: dict[str, tuple[str, ...]]) -> DataFrame:
     """(category_a, category_b, n_a, n_b): compatible categories and how many rows each has.
 
