@@ -294,3 +294,19 @@ def test_exploded_sides_are_not_broadcast(spark):
     text = tiles.tiled_join(side, other, ["k"], [F.col("x")], [F.col("y")])._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in text.splitlines() if "Join" in line and "__ww_i" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+@pytest.mark.parametrize("name", ["price_band_join", "match_path", "match_path_by_edits", "matched_second_stage", "hash_neardup", "tfidf_pair_cosine"])
+def test_product_tables_are_not_broadcast(spark, name):
+    """Sides that grow with the products are merged; only the suppliers, the fixed categories and written short tables may be broadcast."""
+    text = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    for line in text.splitlines():
+        if "BroadcastHashJoin" in line:
+            assert not {"product_id", "p_partkey", "l_partkey", "h", "bits", "__ww_b"} & {c.split("#")[0].strip("[") for c in line.split("BroadcastHashJoin")[1].replace(",", " ").split()}
+    assert "SortMergeJoin" in text or name == "match_path"
+
+
+def test_names_are_scored_once_for_all_products(spark):
+    """tfidf_pair_cosine scores distinct pairs of names before a checkpoint: no scoring is left in the plan of the products."""
+    text = registry.queries()["tfidf_pair_cosine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in text and "regexp_extract_all" not in text
