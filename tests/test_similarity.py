@@ -310,3 +310,19 @@ def test_names_are_scored_once_for_all_products(spark):
     """tfidf_pair_cosine scores distinct pairs of names before a checkpoint: no scoring is left in the plan of the products."""
     text = registry.queries()["tfidf_pair_cosine"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "aggregate(" not in text and "regexp_extract_all" not in text
+
+
+@pytest.mark.parametrize(("bits", "stripe", "chunk"), [(128, 64, 8192), (20, 3, 7)])
+def test_edit_pairs_in_blocks_lose_nothing(spark, monkeypatch, bits, stripe, chunk):
+    """Blocks, stripes and characters without a bit: all pairs, as many as brute force finds, texts above a machine word among them."""
+    monkeypatch.setattr(similar, "BITS", bits)
+    monkeypatch.setattr(similar, "STRIPE", stripe)
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    rng = random.Random(11)
+    a = [" ".join(rng.choice(["red", "ring", "Brand#7", "bolt", "가격", "x" * 30]) for _ in range(rng.choice([1, 2, 4, 6]))) for _ in range(60)]
+    b = [w[:-1] + "z" for w in a] + [w + " 1" for w in a] + a[:5]
+    ratio = lambda x, y: 2 * lcs(x, y) / (len(x) + len(y))
+    want = {(x, y): v for x in set(a) for y in set(b) if (v := ratio(x, y)) >= 0.8}
+    got = similar.edit_pairs(column(spark, a), "t", column(spark, b), "t", 0.8, 16).collect()
+    assert max(map(len, a)) > 64 and len(got) == len(want)
+    assert {(r["a"], r["b"]): pytest.approx(r["ratio"]) for r in got} == want
