@@ -107,3 +107,14 @@ def test_upload_sheet_keeps_its_order(spark):
     got = rules.upload_sheet(df)
     assert got.columns == ["상품명", "네이버쇼핑(이미지링크)"]
     assert [tuple(r) for r in got.collect()] == [("x", "https://a/b.jpg"), ("y", ""), ("z", "")]
+
+
+def test_a_part_whose_rows_lie_apart_is_one_file(spark, tmp_path, monkeypatch):
+    """Parts that lie across two ranges of the numbering: the exchange by part stays after the join by part."""
+    numbered = ordering.numbered
+    monkeypatch.setattr(ordering, "numbered", lambda df, seq: numbered(df, seq, 700))
+    rows = spark.range(3000).select(F.col("id").alias("product_id"), F.lit("P").alias("division"))
+    parts = ordering.split_parts(rows, "product_id", division="division")
+    sheets.write_parts(parts.select("product_id", "part", "label"), str(tmp_path / "parts"), "label", "product_id")
+    got = sheets.list_parts(spark, str(tmp_path / "parts"), "label", "product_id long, part long").collect()
+    assert sorted((r["files"], r["rows"]) for r in got) == [(1, 300)] * 10
