@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wareweave.operators import compat, hashes, similar, tiles, vectors
 from wareweave.plans import registry
+from wareweave.plans import similarity as plans_similarity
 
 WORDS = [f"w{i}" for i in range(30)]
 
@@ -326,3 +327,9 @@ def test_edit_pairs_in_blocks_lose_nothing(spark, monkeypatch, bits, stripe, chu
     got = similar.edit_pairs(column(spark, a), "t", column(spark, b), "t", 0.8, 16).collect()
     assert max(map(len, a)) > 64 and len(got) == len(want)
     assert {(r["a"], r["b"]): pytest.approx(r["ratio"]) for r in got} == want
+
+
+def test_search_takes_every_fiftieth_product(spark):
+    sf = "/root/testdata/sf0.001"
+    names = {r["full_name"] for r in plans_similarity._messy(spark, sf).filter("product_id % 50 = 0").select("full_name").collect()}
+    assert {r["name"] for r in registry.queries()["name_search"](spark, sf).select("name").collect()} <= names
