@@ -344,6 +344,47 @@ def test_every_token_encodes_to_itself():
         block = tokens[i : i + 20_000]
         assert codec.contract(block) == [ranks[t].to_bytes(4, "little") for t in block]
 
+#: What one worker's process holds, without mapped files, after encoding texts of ever new words.
+WORKER = """
+import random, re
+import public_tokenizers, pyarrow as pa
+from wareweave.llm import bpe
+from wareweave.llm.batches import SLICE_BYTES, slices, strings
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +([0-9]+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+start, rng = held(), random.Random(3)
+syllables = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöü", k=rng.randint(2, 4))) for _ in range(300)]
+word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+texts = [" ".join(word() for _ in range(300)) for _ in range(4500)]
+codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path(bpe.RANKS)), public_tokenizers.PATTERN)
+for part in slices(pa.record_batch({"text": texts}), "text", getattr(bpe, "SLICE_BYTES", SLICE_BYTES)):
+    own = strings(part.column("text"))
+    assert codec.decode(codec.encode(own)) == [t.encode() for t in own]
+print(held() - start)
+"""
+
+
+def test_bpe_memory_of_a_worker():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    found = subprocess.run([sys.executable, "-c", WORKER], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    assert int(found.stdout) < 220, found.stdout
+
+
+def test_bpe_caches_are_bounded_in_bytes():
+    import public_tokenizers
+
+    ranks, _ = reference_encoding()
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    for k in range(40):  # few words, but long ones
+        codec.encode([" ".join(f"{k:03}{i:03}" + "ab" * 20_000 for i in range(20))])
+    held = [sum(len(t) + len(ids) for t, ids in kept.items()) for kept in (codec.pieces, codec.words)]
+    assert max(held) < 32 << 20, held
+
 
 # op8
 

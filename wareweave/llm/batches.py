@@ -35,9 +35,9 @@ def strings(column: pa.Array) -> list[str]:
 
 
 def add_columns(
-    df: DataFrame, text: str, added: T.StructType, work: Callable[[list[str]], list[pa.Array]]
+    df: DataFrame, text: str, added: T.StructType, work: Callable[[list[str]], list[pa.Array]], limit: int = SLICE_BYTES
 ) -> DataFrame:
-    """Append columns that ``work`` computes from whole texts, batch by batch.
+    """Append columns that ``work`` computes from whole texts, up to limit bytes of them at once.
 
     All columns of df pass through except those named like an added one.
     """
@@ -46,7 +46,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 columns = work(strings(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=schema.names)
 

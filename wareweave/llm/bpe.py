@@ -20,9 +20,11 @@ With the public pattern a text is cut at its spaces before the pattern is applie
 that a word's pieces and ids are looked up whole: where the pattern never matches across
 a space, it splits both sides alone as it splits them together (see ``cut``).
 
-Memory per task is bounded: texts are encoded in stretches of ``STRETCH`` characters,
-pieces in blocks by the rows that their rounds can produce, ids are decoded in blocks of
-``IDS`` positions whatever documents they belong to, and the caches are emptied when full.
+Memory per task is bounded: a task takes ``SLICE_BYTES`` of texts at once (a longer text
+alone) and encodes them in stretches of ``STRETCH`` characters, pieces in blocks by the
+rows that their rounds can produce; ids are decoded in blocks of ``IDS`` positions
+whatever documents they belong to, and the caches are emptied when what they hold,
+counted in bytes, is above ``CACHE_BYTES``.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; repeated rows
 are encoded alike; a very long text is encoded whole, stretch by stretch; of equal
@@ -52,10 +54,12 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of a piece up to which its merges are done one a round, and beyond which no query takes it.
 SHORT, HUGE = 256, 2048
 #: Rows that the rounds of one query may produce, ids in one query, characters in one stretch.
-ROWS, IDS, STRETCH = 6_000_000, 500_000, 1 << 20
-#: Encoded words and pieces that a worker keeps.
-CACHE = 250_000
-DUCKDB_MEMORY = "300MB"
+ROWS, IDS, STRETCH = 1_500_000, 100_000, 1 << 20
+#: Text bytes that a task handles at once; one longer text is a slice of its own.
+SLICE_BYTES = 1 << 20
+#: Bytes of encoded words, and of pieces, that a worker keeps; those of an entry's objects beside its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 20 << 20, 180
+DUCKDB_MEMORY = "100MB"
 
 ENCODE = """
 WITH RECURSIVE step(piece, tokens) AS (
@@ -139,6 +143,21 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     yield text[start:]
 
 
+class Cache(dict):
+    """Packed ids by text, with the bytes that they take."""
+
+    held = 0
+
+    def add(self, texts: list[str], ids: list[bytes]) -> None:
+        self.update(zip(texts, ids, strict=True))
+        self.held += ENTRY_BYTES * len(texts) + sum(map(len, texts)) + sum(map(len, ids))
+
+    def empty_if_full(self) -> None:
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+
+
 class Codec:
     """Merge table and vocabulary in an in-memory DuckDB of one worker."""
 
@@ -148,8 +167,8 @@ class Codec:
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.sizes[list(ranks.values())] = list(map(len, ranks))
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # ids of each word with the space before it
+        self.pieces = Cache()
+        self.words = Cache()  # ids of each word with the space before it
         pairs, merged = [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -223,21 +242,20 @@ class Codec:
         for piece in new:
             raw = piece.encode()
             if (size := len(raw)) > SHORT:
-                self.pieces[piece] = self.contract_huge(raw) if size > HUGE else self.contract_long(raw)
+                self.pieces.add([piece], [self.contract_huge(raw) if size > HUGE else self.contract_long(raw)])
                 continue
             names.append(piece)
             block.append(raw)
             rows += size * size
             if rows > ROWS:
-                self.pieces.update(zip(names, self.contract(block), strict=True))
+                self.pieces.add(names, self.contract(block))
                 names, block, rows = [], [], 0
         if block:
-            self.pieces.update(zip(names, self.contract(block), strict=True))
+            self.pieces.add(names, self.contract(block))
 
     def _ids(self, split: list[list[str]]) -> list[bytes]:
         """Packed ids of texts that are split into pieces."""
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
+        self.pieces.empty_if_full()
         self._encode_pieces(set().union(*split).difference(self.pieces))
         return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
 
@@ -252,12 +270,11 @@ class Codec:
                 whole[i] = self.split(found[0])
                 del found[0]
                 words[i] = found
-        if len(self.words) > CACHE:
-            self.words.clear()
+        self.words.empty_if_full()
         new = list(set().union(*words.values()).difference(self.words))
         split = [[" " + w] if w.isascii() and w.isalpha() else self.split(" " + w) for w in new]
         heads = self._ids([*whole.values(), *split])
-        self.words.update(zip(new, heads[len(whole) :], strict=True))
+        self.words.add(new, heads[len(whole) :])
         out = heads[: len(whole)]
         for i, found in words.items():
             out[i] += b"".join(map(self.words.__getitem__, found))
@@ -268,7 +285,7 @@ class Codec:
         out: list[list[bytes]] = [[] for _ in texts]
         owner, group, held = [], [], 0
         for i, part in [*((i, p) for i, t in enumerate(texts) for p in (stretches(t) if self.by_words else [t])), (0, None)]:
-            if group and (part is None or held + len(part) > 4 * STRETCH):
+            if group and (part is None or held + len(part) > STRETCH):
                 ids = self._by_words(group) if self.by_words else self._ids([self.split(p) for p in group])
                 for o, packed in zip(owner, ids, strict=True):
                     out[o].append(packed)
@@ -308,7 +325,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
         return [pa.array(ids, pa.binary()), pa.array(codec.decode(ids), pa.binary())]
 
     added = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    return add_columns(docs.withColumn("text", whole_text()), "text", added, work)
+    return add_columns(docs.withColumn("text", whole_text()), "text", added, work, SLICE_BYTES)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -45,6 +45,8 @@ from wareweave.llm.components import components
 
 SEED = 42
 SHINGLE = 3
+#: Text bytes that a task handles at once, and hashes whose bits it unpacks at once; one longer text goes alone.
+SLICE_BYTES, HASHES = 1 << 20, 25_000
 #: Differing bits of a link, and the positional bytes that it shares at least.
 BITS = 2
 MIN_SHARED = 8 - BITS
@@ -81,7 +83,7 @@ def simhashes(texts: list[str]) -> np.ndarray:
     filled = [i for i, h in enumerate(hashes) if len(h)]
     block, held = [], 0
     for i in [*filled, None]:  # bits are unpacked for a bounded number of hashes at a time
-        if block and (i is None or held + len(hashes[i]) > 200_000):
+        if block and (i is None or held + len(hashes[i]) > HASHES):
             sizes = np.array([len(hashes[j]) for j in block])
             bits = np.unpackbits(np.concatenate([hashes[j] for j in block]).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             sums = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
@@ -100,7 +102,7 @@ def fingerprints(docs: DataFrame, others: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 fp = pa.array(simhashes(strings(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], fp], names=schema.names)
 
