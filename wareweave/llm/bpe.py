@@ -54,11 +54,11 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of a piece up to which its merges are done one a round, and beyond which no query takes it.
 SHORT, HUGE = 256, 2048
 #: Rows that the rounds of one query may produce, ids in one query, characters in one stretch.
-ROWS, IDS, STRETCH = 1_500_000, 100_000, 1 << 20
+ROWS, IDS, STRETCH = 3_000_000, 200_000, 1 << 20
 #: Text bytes that a task handles at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 #: Bytes of encoded words, and of pieces, that a worker keeps; those of an entry's objects beside its text and ids.
-CACHE_BYTES, ENTRY_BYTES = 20 << 20, 180
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 180
 DUCKDB_MEMORY = "100MB"
 
 ENCODE = """
