@@ -333,3 +333,18 @@ def test_search_takes_every_fiftieth_product(spark):
     sf = "/root/testdata/sf0.001"
     names = {r["full_name"] for r in plans_similarity._messy(spark, sf).filter("product_id % 50 = 0").select("full_name").collect()}
     assert {r["name"] for r in registry.queries()["name_search"](spark, sf).select("name").collect()} <= names
+
+
+def test_category_join_gives_every_pair(spark):
+    """A row for each two products that go together, not one for their classes."""
+    sf = "/root/testdata/sf0.001"
+    left, right = (side.collect() for side in plans_similarity._sides(spark, sf))
+    norm = lambda c: (c or "").strip().lower()
+    fits = lambda x, y: not x or not y or x == y or any(x in m and y in m for m in plans_similarity._GROUPS.values())
+    want = [
+        (a["product_id"], b["other_id"], a["category"], b["other_category"])
+        for a in left for b in right if (a["brand"], a["size"]) == (b["brand"], b["size"]) and fits(norm(a["category"]), norm(b["other_category"]))
+    ]
+    got = registry.queries()["category_join"](spark, sf)
+    assert got.columns == ["product_id", "other_id", "category", "other_category"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > len(left) / 2
