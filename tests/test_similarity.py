@@ -348,3 +348,44 @@ def test_category_join_gives_every_pair(spark):
     got = registry.queries()["category_join"](spark, sf)
     assert got.columns == ["product_id", "other_id", "category", "other_category"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > len(left) / 2
+
+
+def test_name_search_takes_every_name(spark):
+    """The name of every product is a query, against all titles."""
+    sf = "/root/testdata/sf0.001"
+    rows = plans_similarity._messy(spark, sf).select("full_name", "offer_title").collect()
+    queries, titles = sorted({r["full_name"] for r in rows}), sorted({r["offer_title"] for r in rows})
+    want = []
+    for name in queries:
+        found = sorted((-v, b) for (a, b), v in exact_jaccard([name], titles, 0.5).items())[:5]
+        want += [(name, b, pytest.approx(-v), rank) for rank, (v, b) in enumerate(found, 1)]
+    got = sorted(map(tuple, registry.queries()["name_search"](spark, sf).collect()), key=lambda r: (r[0], r[3]))
+    assert got == want and len({r[0] for r in want}) > 0.9 * len(queries) > 100
+
+
+@pytest.mark.parametrize(("least", "rows", "many"), [(0.3, 4096, 35), (0.5, 7, 35), (0.5, 4096, 1), (0.8, 5, 500)])
+def test_keys_of_both_sizes_find_exactly_what_all_pairs_find(spark, monkeypatch, least, rows, many):
+    monkeypatch.setattr(similar, "MANY", many)
+    sides = [similar.token_sets(column(spark, x), "t") for x in (LEFT, RIGHT)]
+    got = similar.jaccard_pairs(*sides, least, rows, similar.BY_SIZE).collect()
+    want = exact_jaccard(LEFT, RIGHT, least)
+    assert len(got) == len(want) and {(r["a"], r["b"]): pytest.approx(r["similarity"]) for r in got} == want
+    none = similar.token_sets(column(spark, [None, ""]), "t")
+    assert similar.jaccard_pairs(sides[0], none, least, rows, similar.BY_SIZE).count() == similar.jaccard_pairs(none, sides[1], least, rows, similar.BY_SIZE).count() == 0
+
+
+def test_search_meets_few_pairs_that_are_none(spark):
+    """Names of few different words in many combinations: the keys of both sizes are chosen, and what meets grows with the result."""
+    rng = random.Random(4)
+    make = lambda k: sorted({" ".join(f"{c}{rng.randrange(9)}" for c in "abcdef"[:k]) for _ in range(1500)})
+    a, b = make(5), make(6)
+    sides = similar.ranked([similar.token_sets(column(spark, x), "t") for x in (a, b)])
+    need, reach, both = lambda m: F.ceil(m * 0.5).cast("int"), lambda s: s * 2, lambda n, m: -(-(n + m) // 3)
+    sized = similar._by_size(*sides, both)
+    met = lambda x, y: x.groupBy("kind", "key").count().join(y.groupBy("kind", "key").agg(F.count("text").alias("n")), ["kind", "key"]).agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+    assert similar.cheapest(*sides, need, reach, sized) == similar.BY_SIZE
+    assert met(*sized) < met(*[similar.postings(s, need, reach, 3) for s in sides]) / 5
+    want = exact_jaccard(a, b, 0.5)
+    assert met(*sized) < 1.5 * len(want)
+    got = similar.jaccard_pairs(*[similar.token_sets(column(spark, x), "t") for x in (a, b)], 0.5).collect()
+    assert {(r["a"], r["b"]) for r in got} == set(want) and len(got) == len(want)
