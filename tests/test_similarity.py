@@ -389,3 +389,20 @@ def test_search_meets_few_pairs_that_are_none(spark):
     assert met(*sized) < 1.5 * len(want)
     got = similar.jaccard_pairs(*[similar.token_sets(column(spark, x), "t") for x in (a, b)], 0.5).collect()
     assert {(r["a"], r["b"]) for r in got} == set(want) and len(got) == len(want)
+
+
+@pytest.mark.parametrize(("rows", "on"), [(4096, ["k"]), (3, ["k"]), (5, [])])
+def test_rows_of_linked_categories_are_all_compatible_pairs(spark, monkeypatch, rows, on):
+    monkeypatch.setattr(compat, "TASK_PAIRS", 100)
+    rng = random.Random(10)
+    pick = lambda: rng.choice([None, "", " ", "a", "B ", "c", "d", "g", "x"])
+    a, b = [(i, rng.choice([0, 1, None]), pick()) for i in range(60)], [(i, rng.choice([0, 1, None]), pick()) for i in range(50)]
+    left, right = spark.createDataFrame(a, "i int, k int, c string"), spark.createDataFrame(b, "j int, k int, d string")
+    if not on:
+        left, right = left.drop("k"), right.drop("k")
+    norm = lambda c: (c or "").strip().lower()
+    fits = lambda x, y: not x or not y or x == y or any(x in m and y in m for m in GROUPS.values())
+    want = [(i, j, c, d) for i, k, c in a for j, m, d in b if (not on or k is not None and k == m) and fits(norm(c), norm(d))]
+    got = compat.compatible_rows(left, right, "c", "d", GROUPS, on, rows).select("i", "j", "c", "d").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert compat.compatible_rows(left.limit(0), right, "c", "d", GROUPS, on, rows).count() == 0

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wareweave.operators.tiles import TILE_ROWS, merged, tiled_join
+from wareweave.operators.tiles import TASK_PAIRS, TILE_ROWS, merged, tiled_join
 from wareweave.session import checkpoint
 
 WILD_LEFT, WILD_RIGHT = "?", "*"
@@ -74,6 +74,24 @@ def compatible_pairs(left: DataFrame, right: DataFrame, a: str, b: str, groups:
     return met.filter(F.col("__ww_key") == first).drop("__ww_key", "__ww_ka", "__ww_kb")
 
 
+def compatible_rows(left: DataFrame, right: DataFrame, a: str, b: str, groups: dict[str, tuple[str, ...]], on: list[str] | None = None, rows: int = TILE_ROWS) -> DataFrame:
+    """The pairs of compatible_pairs, the rule tried for categories that occur together instead of for rows.
+
+    A left row is copied for each category of the right side that it goes with, and what
+    then meets is a pair. The pairs are counted before, and dealt out by their number.
+    """
+    on = on or []
+    name = lambda c: F.coalesce(F.lower(F.trim(F.col(c))), F.lit(""))
+    of = lambda df, c, x: df.groupBy(*on, name(c).alias(f"__ww_{x}")).agg(F.count(F.lit(1)).alias(f"__ww_n{x}"))
+    linked = checkpoint(compatible_pairs(of(left, a, "a"), of(right, b, "b"), "__ww_a", "__ww_b", groups, on, rows))
+    pairs = linked.agg(F.sum(F.col("__ww_na") * F.col("__ww_nb"))).first()[0] or 0
+    mine = left.withColumn("__ww_a", name(a))
+    linked = linked.select(*on, "__ww_a", "__ww_b")
+    copied = tiled_join(mine, linked, [*on, "__ww_a"], [F.col(c) for c in left.columns], [F.col("__ww_b")], rows).drop("__ww_a")
+    theirs = right.withColumn("__ww_b", name(b))
+    return tiled_join(copied, theirs, [*on, "__ww_b"], [F.col(c) for c in left.columns], [F.col(c) for c in right.columns], rows, pairs // TASK_PAIRS).drop("__ww_b")
+
+
 def compatible_members(
     left: DataFrame, right: DataFrame, id_a: str, id_b: str, a: str, b: str, groups: dict[str, tuple[str, ...]], on: list[str] | None = None, rows: int = TILE_ROWS
 ) -> DataFrame:
